@@ -39,7 +39,7 @@ def opened(path: str, mode: str):
     from pyarrow import fs
 
     store, inner = fs.FileSystem.from_uri(path)
-    return store.open_output_stream(inner) if mode == "w" else store.open_input_file(inner)
+    return store.open_output_stream(inner, compression=None) if mode == "w" else store.open_input_file(inner)
 
 
 class BundleWriter:
