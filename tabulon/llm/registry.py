@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tabulon.llm import chat, warc
+from tabulon.llm import chat, decontaminate, pieces, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
         "op5_chat_formatting": chat.op5_chat_formatting,
+        "op8_sentencepiece": pieces.op8_sentencepiece,
+        "op9_decontamination": decontaminate.op9_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE, "op5_chat_formatting": chat.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op5_chat_formatting": chat.ORACLE, "op9_decontamination": decontaminate.ORACLE}
