@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tabulon.llm import chat, decontaminate, pieces, warc
+from tabulon.llm import chat, decontaminate, lattice, pieces, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
         "op5_chat_formatting": chat.op5_chat_formatting,
+        "op7_lm_scoring": lattice.op7_lm_scoring,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_decontamination": decontaminate.op9_decontamination,
     }
