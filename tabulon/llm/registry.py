@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tabulon.llm import chat, decontaminate, lattice, pieces, warc
+from tabulon.llm import chat, decontaminate, lattice, pieces, quality, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
+        "op2_quality": quality.op2_quality,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op7_lm_scoring": lattice.op7_lm_scoring,
         "op8_sentencepiece": pieces.op8_sentencepiece,
