@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tabulon.llm import chat, decontaminate, lattice, pieces, quality, warc
+from tabulon.llm import chat, decontaminate, lattice, pieces, quality, substrings, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.op1_warc,
         "op2_quality": quality.op2_quality,
+        "op3_substrings": substrings.op3_substrings,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op7_lm_scoring": lattice.op7_lm_scoring,
         "op8_sentencepiece": pieces.op8_sentencepiece,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE, "op5_chat_formatting": chat.ORACLE, "op9_decontamination": decontaminate.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op3_substrings": substrings.ORACLE, "op5_chat_formatting": chat.ORACLE, "op9_decontamination": decontaminate.ORACLE}
