@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import chat, decontaminate, lattice, pieces, quality, substrings, warc
+from tabulon.llm import chat, covertree, decontaminate, lattice, pieces, quality, substrings, warc
 
 
 def queries() -> dict:
@@ -14,8 +14,9 @@ def queries() -> dict:
         "op7_lm_scoring": lattice.op7_lm_scoring,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_decontamination": decontaminate.op9_decontamination,
+        "op10_embeddings": covertree.op10_embeddings,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE, "op3_substrings": substrings.ORACLE, "op5_chat_formatting": chat.ORACLE, "op9_decontamination": decontaminate.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op3_substrings": substrings.ORACLE, "op5_chat_formatting": chat.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_embeddings": covertree.ORACLE}
