@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import chat, covertree, decontaminate, lattice, pieces, quality, substrings, warc
+from tabulon.llm import chat, covertree, decontaminate, lattice, nearpairs, pieces, quality, substrings, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_warc": warc.op1_warc,
         "op2_quality": quality.op2_quality,
         "op3_substrings": substrings.op3_substrings,
+        "op4_minhash": nearpairs.op4_minhash,
         "op5_chat_formatting": chat.op5_chat_formatting,
         "op7_lm_scoring": lattice.op7_lm_scoring,
         "op8_sentencepiece": pieces.op8_sentencepiece,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE, "op3_substrings": substrings.ORACLE, "op5_chat_formatting": chat.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_embeddings": covertree.ORACLE}
+    return {"op1_warc": warc.ORACLE, "op3_substrings": substrings.ORACLE, "op4_minhash": nearpairs.ORACLE, "op5_chat_formatting": chat.ORACLE, "op9_decontamination": decontaminate.ORACLE, "op10_embeddings": covertree.ORACLE}
