@@ -20,6 +20,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from operator import concat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,37 +56,39 @@ class Pieces:
         #: How late a pair that makes this piece is merged.
         self.rank = {p: -lib.get_score(i) for p, i in self.ids.items()}
         self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        self.digits = [str(i) for i in range(n)]
+        #: Text of the pieces that decode by themselves.
+        self.plain = [None if i in special else self.text[i].replace(SPACE, " ") for i in range(n)]
 
     def merge(self, stretch: str) -> list[str]:
         """The symbols that the agenda leaves of a stretch."""
         if stretch in self.ids and len(stretch) == 1:
             return [stretch]
         symbols: list[str | None] = list(stretch)
-        n, rank = len(symbols), self.rank
+        n, rank = len(symbols), self.rank.get
+        agenda = [(r, i, i + 1, both) for i, both in enumerate(map(concat, stretch, stretch[1:])) if (r := rank(both)) is not None]
+        if not agenda:
+            return symbols
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            both = symbols[i] + symbols[i + 1]
-            if (r := rank.get(both)) is not None:
-                agenda.append((r, i, i + 1, both))
         heapq.heapify(agenda)
+        pop, push = heapq.heappop, heapq.heappush
         while agenda:
-            _, i, j, both = heapq.heappop(agenda)
+            _, i, j, both = pop(agenda)
             left, right = symbols[i], symbols[j]
-            if left is None or right is None or after[i] != j or len(left) + len(right) != len(both):
+            if left is None or right is None or left + right != both or after[i] != j:
                 continue
             symbols[i], symbols[j] = both, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
                 new = both + symbols[k]
-                if (r := rank.get(new)) is not None:
-                    heapq.heappush(agenda, (r, i, k, new))
+                if (r := rank(new)) is not None:
+                    push(agenda, (r, i, k, new))
             h = before[i]
             if h >= 0:
                 new = symbols[h] + both
-                if (r := rank.get(new)) is not None:
-                    heapq.heappush(agenda, (r, h, i, new))
+                if (r := rank(new)) is not None:
+                    push(agenda, (r, h, i, new))
         return [x for x in symbols if x is not None]
 
     def stretch_ids(self, stretch: str) -> list[int]:
@@ -102,9 +105,12 @@ class Pieces:
 
     def cut(self, marked: str) -> list[str]:
         """The text's stretches: parts that no merge can join."""
-        joined, parts, at = self.joined, [], 0
-        for k in range(1, len(marked)):
-            if marked[k - 1 : k + 1] not in joined:
+        pairs = list(map(self.joined.__contains__, map(concat, marked, marked[1:])))
+        if all(pairs):
+            return [marked]
+        parts, at = [], 0
+        for k, together in enumerate(pairs, 1):
+            if not together:
                 parts.append(marked[at:k])
                 at = k
         parts.append(marked[at:])
@@ -112,6 +118,11 @@ class Pieces:
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """The text of ids; `first` drops the space of the dummy prefix."""
+        try:
+            text = "".join([self.plain[i] for i in ids])
+            return text[1:] if first and text.startswith(" ") else text
+        except TypeError:  # a byte or a special piece
+            pass
         out: list[str] = []
         held = bytearray()
         for i in [*ids, None]:
@@ -139,7 +150,7 @@ def decoded_bytes(data: bytes) -> str:
 class Codec:
     """Encodes and decodes texts with kept results for words, in two generations of bounded size."""
 
-    def __init__(self, model: str, kept: int = 200_000):
+    def __init__(self, model: str, kept: int = 300_000):
         self.pieces, self.kept = Pieces(model), kept
         self.new: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
@@ -165,7 +176,7 @@ class Codec:
                             self.parts[part] = have
                     ids += have
                 self.unchecked.append((marked, ids))
-                found = ",".join(map(str, ids)), len(ids), self.pieces.decode(ids, first=False)
+                found = ",".join([self.pieces.digits[i] for i in ids]), len(ids), self.pieces.decode(ids, first=False)
             if len(marked) <= 256:
                 if len(self.new) >= self.kept:
                     self.old, self.new = self.new, {}

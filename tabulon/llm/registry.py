@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import chat, covertree, decontaminate, lattice, nearpairs, pieces, quality, substrings, warc
+from tabulon.llm import chat, covertree, decontaminate, lattice, nearpairs, pieces, quality, secrets, substrings, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_substrings": substrings.op3_substrings,
         "op4_minhash": nearpairs.op4_minhash,
         "op5_chat_formatting": chat.op5_chat_formatting,
+        "op6_secret_scans": secrets.op6_secret_scans,
         "op7_lm_scoring": lattice.op7_lm_scoring,
         "op8_sentencepiece": pieces.op8_sentencepiece,
         "op9_decontamination": decontaminate.op9_decontamination,
