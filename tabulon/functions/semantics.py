@@ -208,8 +208,7 @@ def like(x: Typed, pattern: Typed, escape: str | None, fold: bool, substring: bo
         if None not in core:
             if not core:
                 return F.when(text.isNotNull(), True)
-            test = F.contains if opens and closes else F.endswith if opens else F.startswith
-            return test(text, F.lit(word))
+            return text.contains(word) if opens and closes else text.endswith(word) if opens else text.startswith(word)
     return text.rlike(pattern_regex(wanted.lower() if fold else wanted, escape))
 
 
