@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +84,18 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "components") ->
         scratch.drop(f"{name}-e{n - 1}")
         scratch.drop(f"{name}-l{n - 1}")
     return labels
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest number in each one's component, by spreading minima over links a-b and jumping."""
+    label = np.arange(n)
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        while ((jumped := new[new]) != new).any():
+            new = jumped
+        if (new == label).all():
+            return label
+        label = new

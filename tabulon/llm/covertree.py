@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Scratch, components, table
+from tabulon.llm.common import Scratch, components, joined, table
 
 LEAF = 24
 #: What bounds on distances allow for rounding.
@@ -76,84 +76,93 @@ def distance(cosine: np.ndarray) -> np.ndarray:
 
 
 class Links:
-    """Weighted numbers of links, and a forest over the points that they join."""
+    """Weighted numbers of links, and links that join what all of them join."""
 
     def __init__(self, weights: np.ndarray):
         self.weights, self.count = weights, np.zeros(len(weights), np.int64)
-        self.parent = np.arange(len(weights))
-
-    def root(self, i: int) -> int:
-        p = self.parent
-        while p[i] != i:
-            p[i] = p[p[i]]
-            i = p[i]
-        return int(i)
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.root(i), self.root(j)
-        if i != j:
-            self.parent[max(i, j)] = min(i, j)
-
-    def add(self, a: np.ndarray, b: np.ndarray, close: np.ndarray | None) -> None:
-        """Links a[i] with b[j] where close[i, j]; all of them where that is None."""
-        if close is None:
-            self.count[a] += self.weights[b].sum()
-            self.count[b] += self.weights[a].sum()
-            for x in a:
-                self.join(a[0], x)
-            for x in b:
-                self.join(a[0], x)
-        elif close.any():
-            np.add.at(self.count, a, close @ self.weights[b])
-            np.add.at(self.count, b, self.weights[a] @ close)
-            for i in np.flatnonzero(close.any(1)):
-                js = np.flatnonzero(close[i])
-                roots = {self.root(b[j]) for j in js}
-                for r in roots:
-                    self.join(a[i], r)
-
-    def within(self, a: np.ndarray, close: np.ndarray) -> None:
-        """Links among a, by a symmetric matrix with an empty diagonal."""
-        if close.any():
-            self.count[a] += close @ self.weights[a]
-            for i, j in zip(*np.nonzero(np.triu(close)), strict=True):
-                self.join(a[i], a[j])
+        self.left: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.right: list[np.ndarray] = [np.zeros(0, np.int64)]
+
+    def some(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links a[i] with b[i]."""
+        np.add.at(self.count, a, self.weights[b])
+        np.add.at(self.count, b, self.weights[a])
+        self.left.append(a)
+        self.right.append(b)
+
+    def all(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Links each of a with each of b; a star joins them."""
+        self.count[a] += self.weights[b].sum()
+        self.count[b] += self.weights[a].sum()
+        rest = np.concatenate([a[1:], b])
+        self.left.append(np.full(len(rest), a[0]))
+        self.right.append(rest)
+
+    def roots(self) -> np.ndarray:
+        return joined(len(self.weights), np.concatenate(self.left), np.concatenate(self.right))
+
+
+def products(p: list[np.ndarray], q: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of p[k] with q[k], for all k, one behind the other."""
+    sizes_p, sizes_q = np.array([len(x) for x in p]), np.array([len(x) for x in q])
+    first, second = np.concatenate(p), np.concatenate(q)
+    times = np.repeat(sizes_q, sizes_p)
+    a = np.repeat(first, times)
+    start = np.repeat(np.repeat(np.cumsum(sizes_q) - sizes_q, sizes_p), times)
+    within = np.arange(len(a)) - np.repeat(np.cumsum(times) - times, times)
+    return a, second[start + within]
 
 
 def walk(left: Tree, right: Tree, shift: int, links: Links, cosine: float) -> int:
     """Adds all links between two trees, or within one if they are the same; returns the pairs computed."""
     limit, same, computed = float(np.sqrt(2 - 2 * cosine)), left is right, 0
-    todo = [(0, 0)]
+    leaf = [np.array([k is None for k in t.children]) for t in (left, right)]
+    centre = [np.array(t.centre) for t in (left, right)]
+    radius = [np.array(t.radius) for t in (left, right)]
+    todo, leaves = [(0, 0)], []
+
+    def settle() -> None:
+        """Computes the pairs of leaves that bounds left open."""
+        nonlocal computed
+        for k in range(0, len(leaves), 2000):
+            part = leaves[k : k + 2000]
+            a, b = products([left.points[p] for p, _ in part], [right.points[q] for _, q in part])
+            if same:  # a leaf met with itself gives each pair twice
+                own = np.repeat([p == q for p, q in part], [len(left.points[p]) * len(right.points[q]) for p, q in part])
+                ok = ~own | (a < b)
+                a, b = a[ok], b[ok]
+            close = np.einsum("ij,ij->i", left.units[a], right.units[b]) >= cosine
+            computed += len(a)
+            links.some(a[close], b[close] + shift)
+        leaves.clear()
+
     while todo:
         p, q = todo.pop()
-        one = same and p == q
-        kids_p, kids_q = left.children[p], right.children[q]
-        if kids_p is None and kids_q is None:
-            a, b = left.points[p], right.points[q]
-            close = left.units[a] @ right.units[b].T >= cosine
-            computed += close.size
-            if one:
-                np.fill_diagonal(close, False)
-                links.within(a, close)
-            else:
-                links.add(a, b + shift, close)
+        if leaf[0][p] and leaf[1][q]:
+            leaves.append((p, q))
             continue
-        if kids_p is None or (kids_q is not None and right.radius[q] > left.radius[p]):
-            split_p, split_q = np.array([p]), kids_q
+        one = same and p == q
+        if leaf[0][p] or (not leaf[1][q] and not one and right.radius[q] > left.radius[p]):
+            split_p, split_q = np.array([p]), right.children[q]
         else:
-            split_p, split_q = kids_p, np.array([q])
-        if one:
-            split_p = split_q = kids_p
-        apart = distance(left.units[[left.centre[k] for k in split_p]] @ right.units[[right.centre[k] for k in split_q]].T)
-        reach = np.array([left.radius[k] for k in split_p])[:, None] + np.array([right.radius[k] for k in split_q])[None, :]
-        maybe, surely = apart - reach <= limit + SLACK, apart + reach <= limit - SLACK
-        if one:
-            maybe, surely = np.triu(maybe), np.triu(surely, 1)
-        for i, j in zip(*np.nonzero(maybe), strict=True):
-            if surely[i, j]:
-                links.add(left.points[split_p[i]], right.points[split_q[j]] + shift, None)
-            else:
-                todo.append((int(split_p[i]), int(split_q[j])))
+            split_p, split_q = left.children[p], left.children[p] if one else np.array([q])
+        units_q = right.units[centre[1][split_q]].T
+        for k in range(0, len(split_p), 256):
+            rows = split_p[k : k + 256]
+            apart = distance(left.units[centre[0][rows]] @ units_q)
+            reach = radius[0][rows][:, None] + radius[1][split_q][None, :]
+            maybe, surely = apart - reach <= limit + SLACK, apart + reach <= limit - SLACK
+            if one:
+                maybe, surely = np.triu(maybe, k), np.triu(surely, k + 1)
+            i, j = np.nonzero(maybe)
+            take = surely[i, j]
+            x, y = rows[i], split_q[j]
+            for u, v in zip(x[take], y[take], strict=True):
+                links.all(left.points[u], right.points[v] + shift)
+            todo += list(zip(x[~take].tolist(), y[~take].tolist(), strict=True))
+        if len(leaves) > 20_000:
+            settle()
+    settle()
     return computed
 
 
@@ -169,11 +178,10 @@ def block_links(ids: np.ndarray, vectors: np.ndarray, weights: np.ndarray, block
     else:
         walk(left, Tree(units[cut:]), cut, links, cosine)
     some = np.flatnonzero(links.count)
-    roots = np.array([links.root(i) for i in some], np.int64)
-    return pd.DataFrame({"id": ids[some], "links": links.count[some], "root": ids[roots] if len(some) else ids[some]})
+    return pd.DataFrame({"id": ids[some], "links": links.count[some], "root": ids[links.roots()[some]]})
 
 
-def near_vectors(scratch: Scratch, vectors: DataFrame, cosine: float = 0.93, block: int = 1024) -> DataFrame:
+def near_vectors(scratch: Scratch, vectors: DataFrame, cosine: float = 0.93, block: int = 2048) -> DataFrame:
     """vectors (vec_id, embedding, label) with n_links, component_id and kept."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
