@@ -5,12 +5,14 @@ fewer words make one shingle. Its signature has 60 min-hashes of 16 bits. Two se
 differ in more than 23 of them with a probability of about 1e-6, less if they are more alike. By the
 pigeonhole principle two signatures that differ in at most 23 places have, of 12 chunks of 5 symbols, one
 that differs in at most 1; each chunk is entered once for each place that may be wrong, so all pairs
-within that distance meet under some key. Links are confirmed on full sets.
+within that distance meet under some key. A pair is taken only in the first bucket that it shares. 60 more
+min-hashes turn away pairs that differ in more than 41 of all 120. Links are confirmed on full sets.
 
-Work follows the number of documents, not of pairs in a group. Equal sets are one class. Each class is
-first confirmed against the smallest member of the buckets it mostly shares, which joins a group of
-copies to its hub. Then only buckets that still hold two components are compared, in blocks, and only
-pairs across components whose signatures are near are confirmed. No bucket is capped.
+Rows follow the number of documents, not of pairs in a group. Equal sets are one class. Each class is first
+confirmed against the smallest member of the buckets it mostly shares, which joins a group of copies to its
+hub. Then only buckets that still hold two components are compared, in blocks; what leaves them is not the
+near pairs but a spanning forest of them. Each tree's documents come together in blocks with their texts,
+where all near pairs across components are confirmed. No bucket is capped.
 
 Defined cases: a null or empty text has an empty set and links with nothing; rows that share an id are one
 node of the links; a null id links with nothing; repeated rows are one class; an empty table gives no
@@ -22,17 +24,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import Scratch, components, table
+from tabulon.llm.common import Scratch, components, joined, table
 from tabulon.llm.words import Words, mix, slices, spans_hash
 
 CHUNKS, SYMBOLS, DISTANCE = 12, 5, 23
-HASHES = CHUNKS * SYMBOLS
+INDEXED = CHUNKS * SYMBOLS
+#: Min-hashes in a signature, and in how many of them a pair may differ.
+HASHES, FAR = 120, 41
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Up to so many ids are sent to the texts rather than the texts to the ids.
 BROADCAST_IDS = 1_000_000
@@ -88,7 +91,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
 
 
 def keys_of(classes: DataFrame) -> DataFrame:
-    """(key, id): each chunk of a signature with each one of its symbols left out."""
+    """(key, slot, id): each chunk of a signature with each one of its symbols left out, which slot numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -96,7 +99,7 @@ def keys_of(classes: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 4096)
                 if not batch.num_rows:
                     continue
-                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, CHUNKS, SYMBOLS).astype(np.uint64)
+                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, HASHES)[:, :INDEXED].reshape(-1, CHUNKS, SYMBOLS).astype(np.uint64)
                 keys = np.empty((len(sig), CHUNKS, SYMBOLS), np.uint64)
                 for gap in range(SYMBOLS):
                     value = np.zeros(sig.shape[:2], np.uint64)
@@ -104,10 +107,11 @@ def keys_of(classes: DataFrame) -> DataFrame:
                         if k != gap:
                             value = value * np.uint64(1 << 16) + sig[:, :, k]
                     keys[:, :, gap] = mix(mix(value) + (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(8) + np.uint64(gap + 1))[None, :] * np.uint64(0xD6E8FEB86659FD93))
-                ids = np.repeat(batch.column(0).to_numpy(), HASHES)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids)], names=["key", "id"])
+                ids = np.repeat(batch.column(0).to_numpy(), INDEXED)
+                slots = np.tile(np.arange(INDEXED, dtype=np.int8), len(sig))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(slots), pa.array(ids)], names=["key", "slot", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "key long, id long")
+    return classes.select("id", "sig").mapInArrow(run, "key long, slot byte, id long")
 
 
 def confirmed(scratch: Scratch, pairs: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
@@ -143,7 +147,128 @@ def confirmed(scratch: Scratch, pairs: DataFrame, docs: DataFrame, width: int, p
     return out
 
 
-def near_groups(scratch: Scratch, docs: DataFrame, width: int = 3, percent: int = 85, block: int = 512) -> DataFrame:
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int = 3) -> Iterator[pa.RecordBatch]:
+    """The rows again, in batches that end where a group does; rows come sorted by their first `keys` columns.
+
+    Groups are bounded by their blocks, so what waits for the next batch is too.
+    """
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        group = np.stack([batch.column(k).to_numpy() for k in range(keys)], 1)
+        if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in range(keys)):
+            yield combined(held)
+            held = []
+        change = np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1
+        if len(change):
+            yield combined([*held, batch.slice(0, change[-1])])
+            held = [batch.slice(change[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield combined(held)
+
+
+def combined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+
+
+def groups_of(batch: pa.RecordBatch, keys: int = 3) -> np.ndarray:
+    """Where each group of rows begins."""
+    group = np.stack([batch.column(k).to_numpy() for k in range(keys)], 1)
+    return np.concatenate([[0], np.flatnonzero((group[1:] != group[:-1]).any(1)) + 1])
+
+
+def near_pairs(batch: pa.RecordBatch, percent: int, homes: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (a, b) of pairs with near signatures, in one group and in different components and blocks.
+
+    Columns: three that name the group (the last two its blocks), slot, mine, id, component, size, sig.
+    homes: only in the first bucket that a pair shares.
+    """
+    i, j, slot, mine, _, component, size = (batch.column(k).to_numpy() for k in range(1, 8))
+    sig = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint16).reshape(-1, HASHES)
+    first = groups_of(batch)
+    ends = np.repeat(np.append(first[1:], len(i)), np.diff(np.append(first, len(i))))
+    count = ends - np.arange(len(i)) - 1
+    upto = np.concatenate([[0], np.cumsum(count)])
+    at = 0
+    while at < len(i):  # some rows with all that follow them in their groups
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + 200_000, "right")) - 1)
+        a = np.repeat(np.arange(at, to), count[at:to])
+        b = a + 1 + np.arange(len(a)) - (upto[a] - upto[at])
+        ok = (component[a] != component[b]) & ((i[a] == j[a]) | (mine[a] != mine[b]))
+        ok &= 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
+        a, b = a[ok], b[ok]
+        differ = sig[a] != sig[b]
+        near = differ.sum(1) <= FAR
+        a, b, differ = a[near], b[near], differ[near]
+        indexed = differ[:, :INDEXED].reshape(-1, CHUNKS, SYMBOLS)
+        errors = indexed.sum(2)
+        ok = errors.sum(1) <= DISTANCE
+        if homes and len(a):
+            chunk = (errors <= 1).argmax(1)
+            ok &= chunk * SYMBOLS + indexed[np.arange(len(a)), chunk].argmax(1) == slot[a]
+        if ok.any():
+            yield a[ok], b[ok]
+        at = to
+
+
+def forest(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b): edges that join, in each group, the ids that near pairs join."""
+    for batch in whole_groups(batches):
+        found = list(near_pairs(batch, percent, homes=True))
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+            root = joined(batch.num_rows, a, b)
+            some = np.flatnonzero(root != np.arange(batch.num_rows))
+            ids = batch.column(5).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[root[some]]), pa.array(ids[some])], names=["a", "b"])
+
+
+def links_in(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """(a, b): links across components in each group, confirmed on the sets of the texts in column 9.
+
+    A pair is skipped if links found before already join it.
+    """
+    for batch in whole_groups(batches):
+        first = [*groups_of(batch).tolist(), batch.num_rows]
+        for at, to in zip(first, first[1:], strict=False):
+            group = batch.slice(at, to - at)
+            h, begin = shingles(Words(group.column(9), lower=True), width)
+            sets = [distinct(h, begin, k) for k in range(group.num_rows)]
+            component, ids = group.column(6).to_numpy(), group.column(5).to_numpy()
+            parent: dict[int, int] = {}
+
+            def root(x: int, parent: dict[int, int] = parent) -> int:
+                while (up := parent.get(x, x)) != x:
+                    parent[x] = x = parent.get(up, up)
+                return x
+
+            found = []
+            for a, b in near_pairs(group, percent, homes=False):
+                for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                    p, q = root(component[x]), root(component[y])
+                    if p == q:
+                        continue
+                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                        parent[max(p, q)] = min(p, q)
+                        found.append((ids[x], ids[y]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
+
+
+def blocked(rows: DataFrame, group: str) -> DataFrame:
+    """rows (group, blocks, slot, id, component, size, sig, ...) once for each pair of blocks of the group that has them."""
+    mine = F.pmod(F.xxhash64("id", "sig"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rest = [c for c in ("text",) if c in rows.columns]
+    rows = rows.select(group, F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "slot", "mine", "id", "component", "size", "sig", *rest)
+    return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def near_groups(scratch: Scratch, docs: DataFrame, width: int = 3, percent: int = 85, block: int = 2048, text_block: int = 256) -> DataFrame:
     """docs without text, with n_shingles, component_id and kept."""
     keep = [c for c in docs.columns if c not in ("text", "n_shingles", "component_id", "kept")]
     sets = scratch.save(sets_of(docs, width), "sets")
@@ -156,39 +281,30 @@ def near_groups(scratch: Scratch, docs: DataFrame, width: int = 3, percent: int
     shares = members.filter("hub < id").groupBy("id", "hub").agg(F.count("*").alias("n"))
     hubs = shares.groupBy("id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("a"))
     hubs = scratch.save(hubs.select("a", F.col("id").alias("b")), "hubs")
-    edges = confirmed(scratch, hubs, docs, width, percent, "hub-links")
-    labels = components(scratch, edges, "first")
+    links = confirmed(scratch, hubs, docs, width, percent, "hub-links")
+    labels = components(scratch, links, "first")
     # buckets that still hold more than one component
-    placed = members.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    placed = members.join(labels, "id", "left").select("key", "slot", "id", F.coalesce("component", "id").alias("component"))
     placed = scratch.save(placed, "placed")
+    scratch.drop("members")
     open_ = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
     open_ = scratch.save(open_.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "open")
-    scratch.drop("members")
-    left = placed.join(open_.hint("merge"), "key").join(classes.select("id", "sig").hint("merge"), "id")
-    mine = F.pmod(F.xxhash64("id", "sig"), F.col("blocks")).cast("int")
-    left = left.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "id", "component", "sig")
-
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint16).reshape(-1, HASHES)
-        ids, comp, mine = group["id"].to_numpy(), group["component"].to_numpy(), group["mine"].to_numpy()
-        found = []
-        rows = np.flatnonzero(mine == mine.min())
-        columns = np.flatnonzero(mine == mine.max())
-        for k in rows:
-            other = columns[comp[columns] != comp[k]]
-            if mine.min() == mine.max():
-                other = other[other > k]
-            near = other[(sig[other] != sig[k]).sum(1) <= DISTANCE]
-            found.append(np.stack([np.minimum(ids[near], ids[k]), np.maximum(ids[near], ids[k])], 1))
-        pairs = np.unique(np.concatenate([*found, np.zeros((0, 2), np.int64)]), axis=0).astype(np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    pairs = left.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
-    pairs = scratch.save(pairs, "pairs")
-    if not pairs.isEmpty():
-        more = confirmed(scratch, pairs, docs, width, percent, "more-links")
-        labels = components(scratch, labels.select(F.col("id").alias("a"), F.col("component").alias("b")).union(more), "second")
+    signed = classes.select("id", F.col("n_shingles").alias("size"), "sig")
+    left = placed.join(open_.hint("merge"), "key").join(signed.hint("merge"), "id")
+    near = scratch.save(blocked(left, "key").mapInArrow(lambda b: forest(b, percent), "a long, b long").distinct(), "near")
+    scratch.drop("placed")
+    # what near pairs join, with texts
+    trees = components(scratch, near, "trees").withColumnRenamed("component", "tree")
+    blocks = scratch.save(trees.groupBy("tree").agg(F.ceil(F.count("*") / text_block).cast("int").alias("blocks")), "blocks")
+    wanted = scratch.save(trees.join(blocks, "tree").join(labels, "id", "left").select("id", "tree", "blocks", F.coalesce("component", "id").alias("component")), "wanted")
+    ids = wanted.select(F.col("id").alias("doc_id"))
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id")
+    # rows that share an id give each of their texts with each of their signatures; sets decide
+    rows = wanted.join(signed, "id").join(texts.withColumnRenamed("doc_id", "id"), "id").withColumn("slot", F.lit(0).cast("byte"))
+    more = scratch.save(blocked(rows, "tree").mapInArrow(lambda b: links_in(b, width, percent), "a long, b long").distinct(), "more-links")
+    known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    labels = components(scratch, known.union(more), "second")
     # rows that share an id are one node, so the smallest component of its classes is the id's
     named = classes.select("s1", "s2", F.col("n_shingles").alias("n"), "id").join(labels, "id", "left")
     named = scratch.save(named.select("s1", "s2", "n", F.coalesce("component", "id").alias("component")), "named")

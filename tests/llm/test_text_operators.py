@@ -125,14 +125,14 @@ def brute_groups(docs):
     return {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
 
 
-@pytest.mark.parametrize("block", [512, 3])
-def test_near_groups(spark, block):
+@pytest.mark.parametrize(("block", "text_block"), [(2048, 256), (3, 2)])
+def test_near_groups(spark, block, text_block):
     docs = made_docs(seed=8, n=70)
     base = words_of(docs[11][1]) * 3
     for k in range(12):  # a chain in which neighbours are near and ends are not
         docs.append((2000 + k, " ".join(base[k * 8 : k * 8 + 250] + [f"z{j}" for j in range(k * 8, k * 8 + 40)])))
     frame = spark.createDataFrame([(i, t, True) for i, t in docs], "doc_id long, text string, kept boolean")
-    got = nearpairs.near_groups(Scratch(spark, "test"), frame, block=block)
+    got = nearpairs.near_groups(Scratch(spark, "test"), frame, block=block, text_block=text_block)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute_groups(docs)
 
@@ -152,7 +152,7 @@ def test_signatures_meet_within_the_distance(spark):
     pick = np.random.default_rng(2)
     base = pick.integers(0, 1 << 16, (1, nearpairs.HASHES), dtype=np.uint16).repeat(200, 0)
     for k in range(1, 200):
-        base[k, pick.choice(nearpairs.HASHES, nearpairs.DISTANCE, replace=False)] += 1
+        base[k, pick.choice(nearpairs.INDEXED, nearpairs.DISTANCE, replace=False)] += 1
     frame = spark.createDataFrame([(k, bytearray(r.tobytes())) for k, r in enumerate(base)], "id long, sig binary")
     keys = {}
     for r in nearpairs.keys_of(frame).collect():
