@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
-Adjacent symbols are merged in the order of an agenda: a heap of pairs by score, then position, where a
-pair whose symbols have changed is skipped. Symbols without a piece fall back to their bytes. Text is
-first cut where no piece of the vocabulary joins the two neighbouring characters, which no merge can
-cross, so the agenda runs once for each distinct stretch and its result is kept in a bounded cache.
-Each Arrow batch checks the stretches it has newly encoded against the sentencepiece library.
+Adjacent symbols are merged in the order of an agenda: pairs by score, then position, in a heap where a
+pair whose symbols have changed is skipped (for short stretches in a list, which is quicker). Symbols
+without a piece fall back to their bytes. Text is first cut where no piece of the vocabulary joins the two
+neighbouring characters, which no merge can cross, so the agenda runs once for each distinct stretch and
+its result is kept in a bounded cache. Each Arrow batch checks the words it has newly encoded against the
+sentencepiece library.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to itself; U+2581 in a
 text is a space, as in the library; whole texts of any length are encoded; repeated rows and ids give a
@@ -20,6 +21,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import repeat
 from operator import concat
 
 import pyarrow as pa
@@ -64,6 +66,8 @@ class Pieces:
         """The symbols that the agenda leaves of a stretch."""
         if stretch in self.ids and len(stretch) == 1:
             return [stretch]
+        if len(stretch) <= 24:
+            return self.merge_short(stretch)
         symbols: list[str | None] = list(stretch)
         n, rank = len(symbols), self.rank.get
         agenda = [(r, i, i + 1, both) for i, both in enumerate(map(concat, stretch, stretch[1:])) if (r := rank(both)) is not None]
@@ -91,6 +95,23 @@ class Pieces:
                     push(agenda, (r, h, i, new))
         return [x for x in symbols if x is not None]
 
+    def merge_short(self, stretch: str) -> list[str]:
+        """The same with the agenda as a list by position, whose first least entry is next."""
+        symbols, rank, none = list(stretch), self.rank.get, float("inf")
+        agenda = list(map(rank, map(concat, stretch, stretch[1:]), repeat(none)))
+        while agenda:
+            best = min(agenda)
+            if best is none:
+                break
+            i = agenda.index(best)
+            symbols[i] += symbols.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(symbols[i] + symbols[i + 1], none)
+            if i:
+                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], none)
+        return symbols
+
     def stretch_ids(self, stretch: str) -> list[int]:
         found = []
         for symbol in self.merge(stretch):
@@ -136,7 +157,8 @@ class Pieces:
                 continue
             out.append(" ⁇ " if i == self.unknown else self.text[i].replace(SPACE, " "))
         text = "".join(out)
-        return text[1:] if first and text.startswith(" ") else text
+        begins = next((self.plain[i] for i in ids if i not in self.control), None)  # bytes keep their space
+        return text[1:] if first and begins is not None and begins.startswith(" ") else text
 
 
 def decoded_bytes(data: bytes) -> str:
@@ -156,33 +178,60 @@ class Codec:
         self.old: dict[str, tuple[str, int, str]] = {}
         self.parts: dict[str, list[int]] = {}
         self.unchecked: list[tuple[str, list[int]]] = []
+        self.fresh = False
         self.crosses = any(SPACE in p.lstrip(SPACE) for p in self.pieces.ids)
         self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
     def word(self, marked: str) -> tuple[str, int, str]:
         """(ids joined by commas, their number, decoded text) of a word with its leading space marks."""
-        found = self.new.get(marked)
+        found = self.new.get(marked) or self.old.get(marked)
         if found is None:
-            found = self.old.get(marked)
-            if found is None:
-                ids: list[int] = []
-                for part in self.pieces.cut(marked):
-                    have = self.parts.get(part)
-                    if have is None:
-                        have = self.pieces.stretch_ids(part)
-                        if len(part) <= 64:
-                            if len(self.parts) >= self.kept:
-                                self.parts.clear()
-                            self.parts[part] = have
-                    ids += have
+            parts = self.sides(marked)
+            if parts:  # made of words that are kept, so not kept itself
+                return self.composed(marked, parts)
+            ids: list[int] = []
+            for part in self.pieces.cut(marked):
+                have = self.parts.get(part)
+                if have is None:
+                    have = self.pieces.stretch_ids(part)
+                    if len(part) <= 64:
+                        if len(self.parts) >= self.kept:
+                            self.parts.clear()
+                        self.parts[part] = have
+                ids += have
+            if marked[0] == SPACE:
                 self.unchecked.append((marked, ids))
-                found = ",".join([self.pieces.digits[i] for i in ids]), len(ids), self.pieces.decode(ids, first=False)
-            if len(marked) <= 256:
-                if len(self.new) >= self.kept:
-                    self.old, self.new = self.new, {}
-                self.new[marked] = found
+            else:
+                self.fresh = True
+            found = ",".join([self.pieces.digits[i] for i in ids]), len(ids), self.pieces.decode(ids, first=False)
+        if len(marked) <= 256:
+            if len(self.new) >= self.kept:
+                self.old, self.new = self.new, {}
+            self.new[marked] = found
         return found
 
+    def sides(self, marked: str) -> list[str]:
+        """The word cut at line feeds or before a last mark, where no merge can cross; empty if there is no such place."""
+        joined = self.pieces.joined
+        at = marked.find("\n")
+        if at < 0:
+            at = len(marked) - (1 if not marked[-1].isalnum() else 0)
+        elif at == 0:
+            at = 1
+        if 0 < at < len(marked) and marked[:at] != SPACE and marked[at - 1 : at + 1] not in joined:
+            return [marked[:at], marked[at:]]
+        return []
+
+    def composed(self, marked: str, parts: list[str]) -> tuple[str, int, str]:
+        outer, self.fresh = self.fresh, False
+        found = [self.word(p) for p in parts]
+        out = ",".join([f[0] for f in found]), sum([f[1] for f in found]), "".join([f[2] for f in found])
+        if self.fresh and marked[0] == SPACE:  # it holds a new part that the library can't be asked alone
+            self.unchecked.append((marked, [int(x) for x in out[0].split(",")]))
+            self.fresh = outer
+        self.fresh = self.fresh or outer
+        return out
+
     def text(self, text: str) -> tuple[str, int, str]:
         """(ids joined by commas, their number, decode(ids)) of a whole text."""
         if not text:
