@@ -163,10 +163,14 @@ class Pieces:
 
 def decoded_bytes(data: bytes) -> str:
     """UTF-8, with one U+FFFD for each byte that isn't part of a character."""
-    try:
-        return data.decode()
-    except UnicodeDecodeError as bad:
-        return data[: bad.start].decode() + "�" + decoded_bytes(data[bad.start + 1 :])
+    out, at = [], 0
+    while True:
+        try:
+            out.append(data[at:].decode())
+            return "".join(out)
+        except UnicodeDecodeError as bad:
+            out.append(data[at : at + bad.start].decode() + "�")
+            at += bad.start + 1
 
 
 class Codec:
@@ -180,14 +184,16 @@ class Codec:
         self.unchecked: list[tuple[str, list[int]]] = []
         self.fresh = False
         self.crosses = any(SPACE in p.lstrip(SPACE) for p in self.pieces.ids)
+        #: Parts with and without line feeds, where no piece has one.
+        self.lines = None if any("\n" in p for p in self.pieces.ids) else re.compile(r"\n+|[^\n]+")
         self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
-    def word(self, marked: str) -> tuple[str, int, str]:
+    def word(self, marked: str, whole: bool = True) -> tuple[str, int, str]:
         """(ids joined by commas, their number, decoded text) of a word with its leading space marks."""
         found = self.new.get(marked) or self.old.get(marked)
         if found is None:
-            parts = self.sides(marked)
-            if parts:  # made of words that are kept, so not kept itself
+            parts = self.sides(marked) if whole else []
+            if len(parts) > 1:  # made of words that are kept, so not kept itself
                 return self.composed(marked, parts)
             ids: list[int] = []
             for part in self.pieces.cut(marked):
@@ -211,20 +217,19 @@ class Codec:
         return found
 
     def sides(self, marked: str) -> list[str]:
-        """The word cut at line feeds or before a last mark, where no merge can cross; empty if there is no such place."""
-        joined = self.pieces.joined
-        at = marked.find("\n")
-        if at < 0:
-            at = len(marked) - (1 if not marked[-1].isalnum() else 0)
-        elif at == 0:
-            at = 1
-        if 0 < at < len(marked) and marked[:at] != SPACE and marked[at - 1 : at + 1] not in joined:
-            return [marked[:at], marked[at:]]
-        return []
+        """The word cut at line feeds and before a last mark, where no merge can cross."""
+        out = []
+        for part in self.lines.findall(marked) if self.lines and "\n" in marked else [marked]:
+            at = len(part) - 1
+            if at > 0 and not part[at].isalnum() and part[:at] != SPACE and part[at - 1 :] not in self.pieces.joined:
+                out += [part[:at], part[at:]]
+            else:
+                out.append(part)
+        return out
 
     def composed(self, marked: str, parts: list[str]) -> tuple[str, int, str]:
         outer, self.fresh = self.fresh, False
-        found = [self.word(p) for p in parts]
+        found = [self.word(p, whole=False) for p in parts]
         out = ",".join([f[0] for f in found]), sum([f[1] for f in found]), "".join([f[2] for f in found])
         if self.fresh and marked[0] == SPACE:  # it holds a new part that the library can't be asked alone
             self.unchecked.append((marked, [int(x) for x in out[0].split(",")]))

@@ -197,7 +197,7 @@ def test_pieces(spark):
     pick = random.Random(5)
     bits = ["a", "the ", "  ", "\n", "\t", "▁", "é", "漢", "😀", "ing", "\x00", "<s>", "<0x0A>", "   ", "'", ".", "�", "1", "Q", "ung"]
     texts = ["".join(pick.choice(bits) for _ in range(pick.randint(0, 60))) for _ in range(800)]
-    texts += ["", " ", None, "x" * 3000, "the " * 5000, *[t for _, t in made_docs(n=20)]]
+    texts += ["", " ", None, "x" * 3000, "the " * 5000, "line\n" * 3000, "why" + "!" * 3000, "\n" * 3000, "\n a.\n.b", "漢" * 2000, *[t for _, t in made_docs(n=20)]]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS ids", "'x' AS other")
     got = {r.doc_id: r for r in pieces.encode_decode(frame).collect()}
     library = pieces.Pieces(pieces.default_model()).library
@@ -215,6 +215,7 @@ def test_decoding_of_any_ids():
     for _ in range(500):
         ids = [pick.choice([0, 1, 2, pick.randrange(3, 259), pick.randrange(259, 32000)]) for _ in range(pick.randint(0, 6))]
         assert p.decode(ids) == p.library.decode(ids)
+    assert p.decode([3 + 0xFF] * 5000) == "�" * 5000
 
 
 def test_lattice_adds_all_segmentations():
