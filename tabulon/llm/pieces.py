@@ -176,7 +176,7 @@ def decoded_bytes(data: bytes) -> str:
 class Codec:
     """Encodes and decodes texts with kept results for words, in two generations of bounded size."""
 
-    def __init__(self, model: str, kept: int = 300_000):
+    def __init__(self, model: str, kept: int = 120_000):
         self.pieces, self.kept = Pieces(model), kept
         self.new: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
