@@ -10,8 +10,8 @@ Not each window is stored. Of the `width - GRAM + 1` grams of GRAM words in a wi
 hash is its anchor, so equal windows have equal anchors, and neighbouring windows mostly share one. All
 windows of one anchor occurrence form a span: about one entry in 20 windows. A span whose whole word
 sequence occurs in a smaller document is removed at once. Where spans of one anchor differ (the ends of a
-copied passage, or a gram in several contexts), their single windows are compared: only the first
-occurrence of each different span takes part, so copies add nothing.
+copied passage, or a gram in several contexts), their single windows are compared: only the occurrences in
+the first document of each different span take part, so copies add nothing.
 
 Batches must come in ascending order of ids. Defined cases: a null or empty text has no words; texts of
 fewer than `width` words lose nothing; rows with the same id count as one document for each other, and each
@@ -158,10 +158,12 @@ class FingerprintIndex:
         covered = met.join(owner.hint("merge"), KEY).filter("owner < doc_id").select("doc_id", "a", "b")
         # single windows, where one anchor has spans of different words
         several = self._save(firsts.groupBy("fp").agg(F.count("*").alias("k")).filter("k > 1").select("fp"), "several")
-        mixed = self._save(firsts.join(several.hint("merge"), "fp").select("doc_id", "a", "b"), "mixed")
+        mixed = self._save(firsts.join(several.hint("merge"), "fp").select(*KEY, "doc_id", "a", "b"), "mixed")
         out = covered
         if not mixed.isEmpty():
-            each = mixed.groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+            # a span that its first document repeats isn't covered there, so all its places take part
+            repeats = met.join(mixed.select(*KEY, "doc_id").hint("merge"), [*KEY, "doc_id"])
+            each = mixed.select("doc_id", "a", "b").union(repeats.select("doc_id", "a", "b")).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
             texts = corpus.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(each, "doc_id")
             windows = self._save(windows_of(texts, self.width), "windows")
             first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).filter("owner < other").select("w1", "w2", "owner")

@@ -96,6 +96,30 @@ def test_substrings(spark, batches):
     assert digest == {i: hashlib.sha256(w[2].encode()).hexdigest() for i, w in wanted.items()}
 
 
+def removed_words(docs):
+    """Brute force: how many words each of docs (doc_id, text) loses."""
+    starts = {}
+    for i, t in docs:
+        w = words_of(t)
+        for k in range(len(w) - 49):
+            starts.setdefault(tuple(w[k : k + 50]), []).append(i)
+    return {i: len({k + j for w in [words_of(t)] for k in range(len(w) - 49) if min(starts[tuple(w[k : k + 50])]) < i for j in range(50)}) for i, t in docs}
+
+
+@pytest.mark.parametrize("batches", [1, 2])
+def test_substrings_that_a_document_repeats(spark, batches):
+    own = lambda name, n: [f"{name}{k}" for k in range(n)]
+    passage = own("p", 60)
+    one = own("a", 80) + passage + own("b", 80)
+    two = (own("c", 60) + passage + own("d", 60)) * 3
+    docs = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(own("e", 70) + two[:180] * 2))]
+    wanted = removed_words(docs)
+    assert wanted == {1: 0, 2: 180, 3: 360}
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = substrings.kept_text(frame, substrings.dedup(Scratch(spark, "test"), frame, batches)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == wanted
+
+
 def test_substrings_of_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.kept_text(empty, substrings.dedup(Scratch(spark, "test"), empty)).collect() == []
