@@ -21,9 +21,9 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
+    """Keeps the document with the smallest id of each group of near duplicates: 0.8 or more of five-word shingles."""
     scratch = Scratch(spark, "pipeline-near")
-    groups = nearpairs.near_groups(scratch, docs.select("doc_id", "text"))
+    groups = nearpairs.near_groups(scratch, docs.select("doc_id", "text"), width=5, percent=80)
     gone = scratch.save(groups.filter("NOT kept").select("doc_id").distinct(), "gone")
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
 

@@ -1,12 +1,13 @@
 """MinHash near-dedup by a multi-index Hamming join over b-bit signatures.
 
 A document's set is its distinct shingles of `width` words (A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`);
-fewer words make one shingle. Its signature has 60 min-hashes of 16 bits. Two sets of similarity 0.85
-differ in more than 23 of them with a probability of about 1e-6, less if they are more alike. By the
-pigeonhole principle two signatures that differ in at most 23 places have, of 12 chunks of 5 symbols, one
-that differs in at most 1; each chunk is entered once for each place that may be wrong, so all pairs
-within that distance meet under some key. A pair is taken only in the first bucket that it shares. 60 more
-min-hashes turn away pairs that differ in more than 41 of all 120. Links are confirmed on full sets.
+fewer words make one shingle. Its signature has min-hashes of 16 bits, laid out by the threshold: at 0.85
+60 are indexed, in which two sets of that similarity differ in more than 23 places with a probability of
+about 2e-6, less if they are more alike. By the pigeonhole principle two signatures that differ in at most
+23 places have, of 12 chunks of 5 symbols, one that differs in at most 1; each chunk is entered once for
+each place that may be wrong, so all pairs within that distance meet under some key. A pair is taken only in
+the first bucket that it shares. All 120 min-hashes turn away pairs that differ in more than 41 of them.
+`layout` gives these numbers for any threshold. Links are confirmed on full sets.
 
 Rows follow the number of documents, not of pairs in a group. Equal sets are one class. Each class is first
 confirmed against the smallest member of the buckets it mostly shares, which joins a group of copies to its
@@ -22,6 +23,8 @@ rows; whole texts of any length are read; other columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,38 @@ from pyspark.sql import types as T
 from tabulon.llm.common import Scratch, components, joined, table
 from tabulon.llm.words import Words, mix, slices, spans_hash
 
-CHUNKS, SYMBOLS, DISTANCE = 12, 5, 23
+#: Min-hashes in a signature, and how many of them are indexed at most.
+HASHES, KEYS = 120, 60
+#: Probabilities that a pair just at the threshold is missed by the index, and by all min-hashes.
+MISS, FAR_MISS = 2.5e-6, 5e-8
+
+
+def farthest(n: int, percent: int, miss: float) -> int:
+    """The least d such that sets of this similarity differ in more than d of n min-hashes less often than `miss`."""
+    p, beyond = 1 - percent / 100, 1.0
+    for d in range(n):
+        beyond -= comb(n, d) * p**d * (1 - p) ** (n - d)
+        if beyond <= miss:
+            return d
+    return n
+
+
+@lru_cache
+def layout(percent: int) -> tuple[int, int, int, int]:
+    """Chunks, symbols in each, in how many of them all a pair may differ, and in how many of HASHES.
+
+    The longest chunks, and of these the fewest, of which one still differs in at most 1 symbol.
+    """
+    for symbols in (5, 4, 3, 2):
+        for chunks in range(1, KEYS // symbols + 1):
+            distance = farthest(chunks * symbols, percent, MISS)
+            if distance < 2 * chunks:
+                return chunks, symbols, distance, farthest(HASHES, percent, FAR_MISS)
+    raise ValueError(f"no layout of {KEYS} min-hashes finds pairs of similarity {percent} %")
+
+
+CHUNKS, SYMBOLS, DISTANCE, FAR = layout(85)
 INDEXED = CHUNKS * SYMBOLS
-#: Min-hashes in a signature, and in how many of them a pair may differ.
-HASHES, FAR = 120, 41
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Up to so many ids are sent to the texts rather than the texts to the ids.
 BROADCAST_IDS = 1_000_000
@@ -90,8 +121,10 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-def keys_of(classes: DataFrame) -> DataFrame:
+def keys_of(classes: DataFrame, percent: int = 85) -> DataFrame:
     """(key, slot, id): each chunk of a signature with each one of its symbols left out, which slot numbers."""
+    chunks, symbols, _, _ = layout(percent)
+    indexed = chunks * symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -99,16 +132,16 @@ def keys_of(classes: DataFrame) -> DataFrame:
                 batch = whole.slice(at, 4096)
                 if not batch.num_rows:
                     continue
-                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, HASHES)[:, :INDEXED].reshape(-1, CHUNKS, SYMBOLS).astype(np.uint64)
-                keys = np.empty((len(sig), CHUNKS, SYMBOLS), np.uint64)
-                for gap in range(SYMBOLS):
+                sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, HASHES)[:, :indexed].reshape(-1, chunks, symbols).astype(np.uint64)
+                keys = np.empty((len(sig), chunks, symbols), np.uint64)
+                for gap in range(symbols):
                     value = np.zeros(sig.shape[:2], np.uint64)
-                    for k in range(SYMBOLS):
+                    for k in range(symbols):
                         if k != gap:
                             value = value * np.uint64(1 << 16) + sig[:, :, k]
-                    keys[:, :, gap] = mix(mix(value) + (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(8) + np.uint64(gap + 1))[None, :] * np.uint64(0xD6E8FEB86659FD93))
-                ids = np.repeat(batch.column(0).to_numpy(), INDEXED)
-                slots = np.tile(np.arange(INDEXED, dtype=np.int8), len(sig))
+                    keys[:, :, gap] = mix(mix(value) + (np.arange(chunks, dtype=np.uint64) * np.uint64(8) + np.uint64(gap + 1))[None, :] * np.uint64(0xD6E8FEB86659FD93))
+                ids = np.repeat(batch.column(0).to_numpy(), indexed)
+                slots = np.tile(np.arange(indexed, dtype=np.int8), len(sig))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(slots), pa.array(ids)], names=["key", "slot", "id"])
 
     return classes.select("id", "sig").mapInArrow(run, "key long, slot byte, id long")
@@ -188,6 +221,7 @@ def near_pairs(batch: pa.RecordBatch, percent: int, homes: bool) -> Iterator[tup
     """
     i, j, slot, mine, _, component, size = (batch.column(k).to_numpy() for k in range(1, 8))
     sig = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint16).reshape(-1, HASHES)
+    chunks, symbols, distance, far = layout(percent)
     first = groups_of(batch)
     ends = np.repeat(np.append(first[1:], len(i)), np.diff(np.append(first, len(i))))
     count = ends - np.arange(len(i)) - 1
@@ -201,14 +235,14 @@ def near_pairs(batch: pa.RecordBatch, percent: int, homes: bool) -> Iterator[tup
         ok &= 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
         a, b = a[ok], b[ok]
         differ = sig[a] != sig[b]
-        near = differ.sum(1) <= FAR
+        near = differ.sum(1) <= far
         a, b, differ = a[near], b[near], differ[near]
-        indexed = differ[:, :INDEXED].reshape(-1, CHUNKS, SYMBOLS)
+        indexed = differ[:, : chunks * symbols].reshape(-1, chunks, symbols)
         errors = indexed.sum(2)
-        ok = errors.sum(1) <= DISTANCE
+        ok = errors.sum(1) <= distance
         if homes and len(a):
             chunk = (errors <= 1).argmax(1)
-            ok &= chunk * SYMBOLS + indexed[np.arange(len(a)), chunk].argmax(1) == slot[a]
+            ok &= chunk * symbols + indexed[np.arange(len(a)), chunk].argmax(1) == slot[a]
         if ok.any():
             yield a[ok], b[ok]
         at = to
@@ -274,9 +308,9 @@ def near_groups(scratch: Scratch, docs: DataFrame, width: int = 3, percent: int
     sets = scratch.save(sets_of(docs, width), "sets")
     classes = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
     classes = scratch.save(classes, "classes")
-    buckets = keys_of(classes).groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top").select("key", "hub")
+    buckets = keys_of(classes, percent).groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top").select("key", "hub")
     buckets = scratch.save(buckets, "buckets")
-    members = scratch.save(keys_of(classes).join(buckets.hint("merge"), "key"), "members")
+    members = scratch.save(keys_of(classes, percent).join(buckets.hint("merge"), "key"), "members")
     # each class and the hub that it shares most keys with
     shares = members.filter("hub < id").groupBy("id", "hub").agg(F.count("*").alias("n"))
     hubs = shares.groupBy("id").agg(F.max_by("hub", F.struct("n", -F.col("hub"))).alias("a"))
