@@ -1,16 +1,21 @@
 """Secret scans: candidates found by one pattern, false positives removed by a random forest.
 
-Only DataFrame functions run on the executors. A candidate is a run of at least 14 characters of the
-alphabets of keys and hashes that holds a digit or two capitals in a row. Its features are its length, its
+Only DataFrame functions run on the executors. A candidate is, at its first character, the first that fits of
+- a value of at least 6 characters assigned to a secret's name: up to its closing quote, or else up to white
+  space or the next `&name=`, without closing punctuation; the value of a Bearer header is one too,
+- a password in an address (`//user:password@host`), of at least 6 characters,
+- a JWT or another token of three dotted parts, whole,
+- a run of at least 14 characters of the alphabets of keys and hashes with a digit or two capitals in a row.
+Not candidates: shorter values, values with spaces, and unassigned runs of small letters. Its features are its length, its
 character classes and transitions, how much of it common words and letter pairs cover, whether it stands
 in a path or an address, and its neighbouring words. The forest learns from labelled findings: a table the
-caller gives, or those that `known_format` labels (formats of issued keys and plain assignments), of at
+caller gives, or those that `known_format` labels (formats of issued keys, plain assignments; others have no label), of at
 most `most` findings with the smallest hash, which bounds what training reads, not what is scored.
 
 Defined cases: a null or empty text has no candidates; repeated rows give their findings each; a null id
 keeps its findings; without labelled findings of both kinds the probability is the label itself; whole
 texts of any length are scanned; an empty table gives no findings; `redact` passes other columns through
-and replaces the secrets found in any row of an id in all rows of that id.
+and replaces the secrets found in any row of an id in all rows of that id, short ones only as whole words.
 """
 
 from __future__ import annotations
@@ -21,12 +26,31 @@ from pyspark.sql import functions as F
 from tabulon.llm.common import Scratch, table
 
 _RUN = "A-Za-z0-9_+/\\-"
-CANDIDATE = f"(?<![{_RUN}])(?=[{_RUN}]{{14}})(?=[A-Za-z_+/\\-]*(?:[0-9]|[A-Z][A-Z]))[{_RUN}]{{14,}}+={{0,2}}"
+_RUNS = f"(?<![{_RUN}])(?=[{_RUN}]{{14}})(?=[A-Za-z_+/\\-]*(?:[0-9]|[A-Z][A-Z]))[{_RUN}]{{14,}}+={{0,2}}"
 # Common words and endings of four languages, and common letter pairs.
 WORDS = "that|with|this|from|have|tion|ment|ness|able|ing|the|and|for|are|was|not|you|all|der|die|das|und|ist|ein|ich|ung|heit|keit|lich|sch|les|des|que|est|une|pas|aux|eau|elle|mente|ción|ado|los|las|del|con|para|test|user|name|data|file|http|www|com"
 PAIRS = "th|he|in|er|an|re|on|at|en|nd|ti|es|or|te|of|ed|is|it|al|ar|st|to|nt|ng|se|ha|as|ou|io|le|ve|co|me|de|hi|ri|ro|ic|ne|ea|ra|ce|li|ch|ei|ie|qu|ue|ge|be|un|sh|ly|bl|wh"
 NAMES = "(?i)(pass(word|wd|phrase)?|pwd|token|secret|api[_-]?key|access[_-]?key|private[_-]?key|key|auth|credentials?|bearer)"
-FEATURES = ["length", "digits", "capitals", "hex", "transitions", "variety", "vowels", "pairs", "covered", "path", "named", "assigned", "quoted"]
+#: What stands between a name and its value, without the value's quote; bounded, as lookbehinds must be.
+_SIGN = "[\"']?\\s{0,4}(?::=|=>|==?|:)\\s{0,4}"
+_ASSIGNED = f"{NAMES}(?-i){_SIGN}"
+# the short lookbehinds spare most places the long ones
+_VALUES = "|".join([
+    f"(?<=[=:>]\\s{{0,4}}\")(?<={_ASSIGNED}\")[^\\s\"]{{6,}}(?=\")",
+    f"(?<=[=:>]\\s{{0,4}}')(?<={_ASSIGNED}')[^\\s']{{6,}}(?=')",
+    f"(?:(?<=[=:>]\\s{{0,4}})(?<={_ASSIGNED})|(?<=[rR]\\s)(?<=(?i:bearer)\\s))(?!=)(?:(?![&;]\\w{{1,40}}=)[^\\s\"']){{6,}}(?<![,;.:)\\]}}>])",
+])
+_ADDRESS = "(?<=:)(?<=://[^\\s/:@]{0,64}:)[^\\s/@]{6,}(?=@)"
+_PART = "[A-Za-z0-9_-]"
+_JWT = f"eyJ{_PART}{{7,}}(?:\\.{{1,2}}{_PART}+){{1,4}}"
+_DOTTED = f"(?<![{_RUN}.])(?:{_JWT}|{_PART}{{2,}}\\.{_PART}{{6,}}\\.(?=[A-Za-z_-]*[0-9]){_PART}{{16,}})"
+CANDIDATE = f"{_VALUES}|{_ADDRESS}|{_DOTTED}|{_RUNS}"
+#: Assigned texts that stand for a value: words of code and manuals, variables, calls, marks to fill in.
+PLACEHOLDERS = "(?i)^(?:true|false|null|none|undefined|required|optional|string|integer|password|passwd|secret|token|example|default|changeme|your[_-].*|x{3,}|\\*{3,}|\\.{3,}|[$<{%(\\[].*|[a-z_][\\w.]*[(\\[].*|[a-z_]+(?:\\.[a-z_]+)+)$"
+#: Names that only secrets have, and how a password in an address is preceded.
+STRONG = "(?i)(pass(word|wd|phrase)|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\\s*(:=|=>|==?|:)\\s*[\"']?$"
+ADDRESS = "://[^\\s/:@]*:$"
+FEATURES = ["length", "digits", "capitals", "hex", "transitions", "variety", "vowels", "pairs", "covered", "path", "named", "assigned", "quoted", "equals", "strong", "filler", "address"]
 
 
 def share(pattern: str, of: Column) -> Column:
@@ -73,16 +97,30 @@ def described(found: DataFrame) -> DataFrame:
         "named": flag(F.col("before").rlike(NAMES + "\\W{0,4}$")),
         "assigned": flag(F.col("before").rlike("[=:]\\s*[\"']?$")),
         "quoted": flag(F.col("before").rlike("[\"']$") & F.col("after").rlike("^[\"']")),
+        "equals": flag(F.col("before").rlike("=>?\\s*[\"']?$")),
+        "strong": flag(F.col("before").rlike(STRONG)),
+        "filler": flag(c.rlike(PLACEHOLDERS)),
+        "address": flag(F.col("before").rlike(ADDRESS) & F.col("after").startswith("@")),
     }
     return found.withColumns({k: v.cast("double") for k, v in columns.items()})
 
 
 def known_format() -> Column:
-    """Label of a finding: 1 for an issued key's format or a value assigned to a secret's name, else 0."""
-    c, before = F.col("candidate"), F.col("before")
-    issued = c.rlike("^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^sk-[A-Za-z0-9_-]{20,}$|^eyJ[A-Za-z0-9_-]{10,}$")
-    value = before.rlike(NAMES + "\\s*[=:]\\s*[\"']?$") & c.rlike("[0-9]") & ~c.rlike("^[0-9]+$")
-    return (issued | value).cast("int")
+    """Label of a finding: 1 for an issued key's format, a password in an address or a value assigned to a secret's name.
+
+    Values without a digit, or of digits alone, are 1 if a name that only secrets have is assigned them by `=` or in quotes, and
+    not labelled (null) if otherwise assigned, unless they are prose or stand for a value. All else is 0.
+    """
+    c, before, after = F.col("candidate"), F.col("before"), F.col("after")
+    issued = c.rlike(f"^(AKIA|ASIA)[A-Z0-9]{{16}}$|^gh[pousr]_[A-Za-z0-9]{{36,}}$|^xox[abprs]-[A-Za-z0-9-]{{10,}}$|^sk-[A-Za-z0-9_-]{{20,}}$|^eyJ[A-Za-z0-9_-]{{10,}}$|^{_JWT}$")
+    assigned = before.rlike(_ASSIGNED + "[\"']?$")
+    filler = c.rlike(PLACEHOLDERS)
+    value = (assigned | before.rlike("(?i)bearer\\s$")) & c.rlike("[0-9]") & ~c.rlike("^[0-9]+$")
+    sure = before.rlike(STRONG) & (before.rlike("=>?\\s*[\"']?$") | before.rlike("[\"']$"))
+    prose = before.rlike(":\\s+$") & c.rlike("^[A-Za-z]+$")
+    address = before.rlike(ADDRESS) & after.startswith("@")
+    label = F.when(issued, 1).when(filler, 0).when(value | address, 1).when(assigned & sure, 1)
+    return label.when(assigned & ~prose & ~c.rlike("^[0-9]+$"), F.lit(None)).otherwise(0).cast("int")
 
 
 def judged(scratch: Scratch, found: DataFrame, labelled: DataFrame | None = None, learn: Column | None = None, most: int = 20_000, trees: int = 30) -> DataFrame:
@@ -101,7 +139,7 @@ def judged(scratch: Scratch, found: DataFrame, labelled: DataFrame | None = None
     taught = scratch.save(taught.coalesce(1), "taught")
     counts = {r["label"]: r["count"] for r in taught.groupBy("label").count().collect()}
     if len(counts) < 2:
-        return rows.withColumn("probability", known_format().cast("double"))
+        return rows.withColumn("probability", F.coalesce(known_format().cast("double"), F.lit(0.5)))
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -130,7 +168,14 @@ def redact(scratch: Scratch, docs: DataFrame, mark: str = "[SECRET]", threshold:
     found = scan(scratch, docs, threshold).filter("secret AND doc_id IS NOT NULL").select("doc_id", "candidate").distinct()
     hidden = found.groupBy("doc_id").agg(F.array_sort(F.collect_list("candidate"), lambda a, b: F.length(b) - F.length(a)).alias("__hidden")).withColumnRenamed("doc_id", "__id")
     joined = docs.join(hidden, F.col("doc_id") == F.col("__id"), "left")
-    clean = F.aggregate(F.coalesce("__hidden", F.array().cast("array<string>")), F.col("text"), lambda text, secret: F.replace(text, secret, F.lit(mark)))
+    literal = mark.replace("\\", "\\\\").replace("$", "\\$")
+
+    def hide(text: Column, secret: Column) -> Column:
+        # a short one may be part of other words
+        quoted = F.concat(F.lit("(?<![A-Za-z0-9])\\Q"), F.replace(secret, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E(?![A-Za-z0-9])"))
+        return F.when(F.length(secret) < 14, F.regexp_replace(text, quoted, F.lit(literal))).otherwise(F.replace(text, secret, F.lit(mark)))
+
+    clean = F.aggregate(F.coalesce("__hidden", F.array().cast("array<string>")), F.col("text"), hide)
     return joined.withColumn("text", clean).select(*docs.columns)
 
 

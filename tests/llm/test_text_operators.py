@@ -364,3 +364,31 @@ def test_secrets(spark):
     assert all(got[k] == texts[k] for k, s in hidden.items() if not s)
     assert got[900] is None and got[901] == "" and got[None] == texts[None]
     assert secrets.scan(Scratch(spark, "test"), docs.limit(0)).collect() == []
+
+
+def test_secrets_of_other_shapes(spark):
+    """Short, broken, all-letter and dotted secrets, and texts that only look like them."""
+    pick = random.Random(11)
+    letters, digits = "abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ", "23456789"
+    mixed = lambda n: "".join(pick.choice(letters + digits) for _ in range(n - 1)) + pick.choice(digits)
+    small = lambda n: "".join(pick.choice(letters[:25]) for _ in range(n))
+    rows, hidden = [], {}
+    for k in range(400):
+        m, jwt = mixed(9), f"eyJ{mixed(20)}.eyJ{mixed(40)}.{mixed(30)}-_{mixed(11)}"
+        secret, form = [(m, 'password = "{}"'), (f"{m[:4]}&{m[4:]}!", "run with pwd={} now"), (m, "postgres://admin:{}@db.example.com/main"), (small(12), "password='{}'"), (jwt, "Authorization: Bearer {} sent"), (jwt, "it was {} then"), (m, '{{"api_key": "{}"}}'), (m, "/login?token={}&user=ann")][k % 8]
+        plain = ["the key: everything else follows", "password = getpass.getpass() in code", "see www.example2.com/path/to/files/index1.html", 'token = "${TOKEN}" and password: required', "no secret here"][k % 5]
+        rows.append((2 * k, f"some words {form.format(secret)} and more"))
+        hidden[2 * k] = secret
+        rows.append((2 * k + 1, f"some words {plain} and more"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = {(f.doc_id, f.candidate) for f in secrets.scan(Scratch(spark, "test"), docs).collect() if f.secret}
+    assert told == set(hidden.items())
+    clean = {r.doc_id: r.text for r in secrets.redact(Scratch(spark, "test"), docs).collect()}
+    assert clean == {k: t.replace(hidden[k], "[SECRET]") if k in hidden else t for k, t in rows}
+
+
+def test_candidates_of_long_texts(spark):
+    texts = [f"password={'a&b;' * 100_000}x", "eyJ" + "a" * 300_000 + ".b" * 10, "a" * 300_000, "key=" * 60_000, "a.b" * 100_000, "password='" + "x" * 200_000, "secret=hunter, then"]
+    found = secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert all(texts[f.doc_id][f.start : f.start + len(f.candidate)] == f.candidate for f in found)
+    assert {f.candidate for f in found if f.doc_id in (0, 6)} == {texts[0][9:], "hunter"}
