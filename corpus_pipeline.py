@@ -21,11 +21,17 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates: 0.8 or more of five-word shingles."""
+    """Keeps the document with the smallest id of each group of near duplicates: 0.8 or more of five-word shingles.
+
+    Each row is a document of its own, so of repeated rows, or of near texts under one id, one row stays; texts
+    that differ stay under one id. A null id comes after all others. Texts without words link with nothing and stay.
+    """
     scratch = Scratch(spark, "pipeline-near")
-    groups = nearpairs.near_groups(scratch, docs.select("doc_id", "text"), width=5, percent=80)
-    gone = scratch.save(groups.filter("NOT kept").select("doc_id").distinct(), "gone")
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    rows = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    groups = nearpairs.near_groups(scratch, rows.select(F.col("__row").alias("doc_id"), F.col("doc_id").alias("__id"), "text"), width=5, percent=80)
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "doc_id")).alias("at"))
+    stay = scratch.save(first.select(F.col("at.doc_id").alias("__row")), "stay")
+    return rows.join(stay.hint("merge"), "__row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

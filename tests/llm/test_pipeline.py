@@ -39,6 +39,18 @@ def test_near_dedup_takes_five_words_and_four_fifths(spark):
     assert wanted == {k for k in docs if k % 4 != 3}
 
 
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    pick = random.Random(4)
+    a, b, c, d, e = (" ".join(said(pick, 100)) for _ in range(5))
+    near = a + " one more"
+    rows = [(9, a), (9, a), (3, near), (None, a), (5, b), (5, b), (5, c), (None, d), (None, d), (7, e), (None, e), (8, ""), (8, None)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    wanted = [(3, near), (5, b), (5, c), (None, d), (7, e), (8, ""), (8, None)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, wanted))
+    empty = spark.createDataFrame([], "doc_id long, text string")
+    assert corpus_pipeline.near_dedup(spark, empty, "").collect() == []
+
+
 def test_layout_follows_the_threshold():
     assert nearpairs.layout(85) == (12, 5, 23, 41)
     for percent in (50, 70, 80, 85, 95, 100):
