@@ -181,7 +181,7 @@ class Codec:
         self.new: dict[str, tuple[str, int, str]] = {}
         self.old: dict[str, tuple[str, int, str]] = {}
         self.parts: dict[str, list[int]] = {}
-        self.unchecked: list[tuple[str, list[int]]] = []
+        self.unchecked: list[tuple[str, list[int], str]] = []
         self.fresh = False
         self.crosses = any(SPACE in p.lstrip(SPACE) for p in self.pieces.ids)
         #: Parts with and without line feeds, where no piece has one.
@@ -205,11 +205,11 @@ class Codec:
                             self.parts.clear()
                         self.parts[part] = have
                 ids += have
+            found = ",".join([self.pieces.digits[i] for i in ids]), len(ids), self.pieces.decode(ids, first=False)
             if marked[0] == SPACE:
-                self.unchecked.append((marked, ids))
+                self.unchecked.append((marked, ids, found[2]))
             else:
                 self.fresh = True
-            found = ",".join([self.pieces.digits[i] for i in ids]), len(ids), self.pieces.decode(ids, first=False)
         if len(marked) <= 256:
             if len(self.new) >= self.kept:
                 self.old, self.new = self.new, {}
@@ -232,7 +232,7 @@ class Codec:
         found = [self.word(p, whole=False) for p in parts]
         out = ",".join([f[0] for f in found]), sum([f[1] for f in found]), "".join([f[2] for f in found])
         if self.fresh and marked[0] == SPACE:  # it holds a new part that the library can't be asked alone
-            self.unchecked.append((marked, [int(x) for x in out[0].split(",")]))
+            self.unchecked.append((marked, [int(x) for x in out[0].split(",")], out[2]))
             self.fresh = outer
         self.fresh = self.fresh or outer
         return out
@@ -255,10 +255,14 @@ class Codec:
     def check(self) -> None:
         """Raises if the library encodes or decodes any newly met word otherwise."""
         if self.unchecked:
-            words = [w for w, _ in self.unchecked]
-            for word, (_, own), theirs in zip(words, self.unchecked, self.pieces.library.encode([w[1:] for w in words], num_threads=1), strict=True):
+            library = self.pieces.library
+            encoded = library.encode([w[1:] for w, _, _ in self.unchecked], num_threads=1)
+            decoded = library.decode([own for _, own, _ in self.unchecked], num_threads=1)
+            for (word, own, text), theirs, back in zip(self.unchecked, encoded, decoded, strict=True):
                 if word != SPACE and own != theirs or word == SPACE and len(own) != 1:
                     raise ValueError(f"the library encodes {word!r} as {theirs}, the agenda as {own}")
+                if text[1:] != back:
+                    raise ValueError(f"the library decodes {own} as {back!r}, this module as {text[1:]!r}")
             self.unchecked.clear()
 
 

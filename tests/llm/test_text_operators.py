@@ -233,6 +233,18 @@ def test_pieces(spark):
     assert pieces.encode_decode(frame.limit(0)).collect() == []
 
 
+def test_words_are_checked_against_the_librarys_decode():
+    good, bad = pieces.Codec(pieces.default_model()), pieces.Codec(pieces.default_model())
+    for text in ("the river", "\n a.\n.b", "漢\x00 é", "  two"):
+        good.text(text)
+    good.check()
+    right = bad.pieces.decode
+    bad.pieces.decode = lambda ids, **how: right(ids, **how).replace("r", "R")
+    bad.text("the river")
+    with pytest.raises(ValueError, match="decodes"):
+        bad.check()
+
+
 def test_decoding_of_any_ids():
     p = pieces.Pieces(pieces.default_model())
     pick = random.Random(6)
