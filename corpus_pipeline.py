@@ -61,7 +61,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", tokenisation),
 ]
 
-#: The first stage's model and the fourth's forest have no SQL; tests hold the stages against brute force.
+#: The first stage's model and the fourth's forest have no SQL; tests hold near_dedup against brute force, the other stages only by their operators.
 ORACLE_SQL = None
 
 
