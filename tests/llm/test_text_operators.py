@@ -120,6 +120,17 @@ def test_substrings_that_a_document_repeats(spark, batches):
     assert {r.doc_id: r.n_removed for r in got} == wanted
 
 
+def test_substrings_over_compacted_runs(spark, monkeypatch):
+    docs, compactions = made_docs(n=30), []
+    compact = substrings.FingerprintIndex.compact
+    monkeypatch.setattr(substrings.FingerprintIndex, "compact", lambda self: compactions.append(len(self.runs)) or compact(self))
+    docs = [(i if i < 1000 else 90 + i - 1000, t) for i, t in docs]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = substrings.kept_text(frame, substrings.dedup(Scratch(spark, "test"), frame, 7)).collect()
+    assert {r.doc_id: r.n_removed for r in got} == removed_words(docs)
+    assert compactions == [5]
+
+
 def test_substrings_of_odd_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.kept_text(empty, substrings.dedup(Scratch(spark, "test"), empty)).collect() == []
