@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
@@ -16,10 +18,20 @@ LABELS = {"int": "Integer", "float": "Float", "bool": "Boolean"}
 @dataclass
 class Table:
     name: str
-    frame: DataFrame
+    #: The rows, or what reads them when a statement first names the table.
+    made: DataFrame | Callable[[], DataFrame]
     #: Type labels by column where the source knows better than the Spark type.
     labels: dict[str, str] = field(default_factory=dict)
 
+    @cached_property
+    def frame(self) -> DataFrame:
+        return self.made() if callable(self.made) else self.made
+
+    @cached_property
+    def rows(self) -> int:
+        """Number of rows, counted once; of Parquet it is read from the footers."""
+        return self.frame.count()
+
     def described(self) -> list[tuple[str, str]]:
         return [(f.name, self.labels.get(f.name) or LABELS.get(kind_of(f.dataType), "Text")) for f in self.frame.schema.fields]
 
@@ -29,7 +41,7 @@ class Database:
     name: str
     tables: dict[str, Table] = field(default_factory=dict)
 
-    def add(self, name: str, frame: DataFrame, labels: dict[str, str] | None = None) -> Table:
+    def add(self, name: str, frame: DataFrame | Callable[[], DataFrame], labels: dict[str, str] | None = None) -> Table:
         name = unique(name, self.tables)
         self.tables[name] = Table(name, frame, labels or {})
         return self.tables[name]

@@ -40,17 +40,23 @@ def trim(args: list[Typed], left: bool, right: bool) -> Typed:
     return text(F.regexp_replace(shown, "|".join(edges), ""))
 
 
+def place(x: Column) -> Column:
+    """A whole number as Spark's int: one beyond it reaches past any text all the same."""
+    most = 2**31 - 1
+    return F.when(x > most, most).when(x < -most, -most).otherwise(x).cast("int")
+
+
 def substring(args: list[Typed]) -> Typed:
     """From character 1; start 0 gives '', a negative start counts as 1, a negative length as 0."""
-    shown, start = display(args[0]), whole(args[1], "SUBSTRING").cast("int")
-    size = F.greatest(whole(args[2], "SUBSTRING"), F.lit(0)).cast("int") if len(args) == 3 else F.length(shown)
+    shown, start = display(args[0]), place(whole(args[1], "SUBSTRING"))
+    size = place(F.greatest(whole(args[2], "SUBSTRING"), F.lit(0))) if len(args) == 3 else F.length(shown)
     found = F.when(start >= 1, F.substring(shown, start, size)).when(start == 0, "").otherwise(F.substring(shown, F.lit(1), size))
     return text(F.when(start.isNotNull() & size.isNotNull(), found))
 
 
 def split(args: list[Typed]) -> Typed:
     """The n-th part between literal separators; NULL beyond the last or below 1."""
-    shown, mark, n = display(args[0]), display(args[1]), whole(args[2], "SPLIT").cast("int")
+    shown, mark, n = display(args[0]), display(args[1]), place(whole(args[2], "SPLIT"))
     quoted = F.concat(F.lit("\\Q"), F.replace(mark, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     parts = F.when(mark == "", F.array(shown)).otherwise(F.split(shown, quoted, F.lit(-1)))
     return text(F.when(n >= 1, F.try_element_at(parts, n)))
@@ -115,11 +121,17 @@ def replaced(args: list[Typed]) -> Typed:
 
 
 def side(f: Callable, name: str) -> Callable[[list[Typed]], Typed]:
-    return lambda a: text(f(display(a[0]), whole(a[1], name).cast("int")))
+    return lambda a: text(f(display(a[0]), place(whole(a[1], name))))
 
 
 def rounding(f: Callable, name: str) -> Callable[[list[Typed]], Typed]:
-    return lambda a: real(f(number(a[0], name).cast("double")).cast("double"))
+    """Doubles of 2^52 and more are whole already, and too large for f's bigint."""
+
+    def rounded(args: list[Typed]) -> Typed:
+        x = number(args[0], name).cast("double")
+        return real(F.when(F.abs(x) < 2.0**52, f(x).cast("double")).otherwise(x))
+
+    return rounded
 
 
 Lowering = Callable[[list[Typed]], Typed]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from math import prod
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.catalog import Catalog
@@ -28,6 +31,27 @@ class Relations:
                 frame, scope = self.joined(frame, scope, join.right, join)
         return frame, scope
 
+    def rows(self, sources: tuple[n.From, ...]) -> int:
+        """The number of rows of FROM; a comma list's is a product, so it is never multiplied out to count it.
+
+        A table's rows are counted once. Only a JOIN is run for its count, with what its condition names.
+        """
+        out: list[Callable[[], int]] = []
+        apart: list[n.From] = []
+        for source in sources:
+            apart.append(source)
+            if not source.joins:
+                table = self.catalog.table(source.first.parts)
+                out.append(lambda table=table: table.rows)
+                continue
+            try:
+                frame, _ = Relations(self.spark, self.catalog, self.compat).build((source,))
+            except QueryError:  # its condition names tables before the comma
+                frame, _ = Relations(self.spark, self.catalog, self.compat).build(tuple(apart))
+                out = []
+            out.append(frame.count)
+        return prod(count() for count in out)
+
     def relation(self, node: n.Relation) -> tuple[DataFrame, list[Field]]:
         table = self.catalog.table(node.parts)
         fields, columns = [], []

@@ -124,12 +124,17 @@ class Lowering:
             tests = [truthy(self(c)) for c, _ in node.branches]
         else:
             operand = self(node.operand)
-            tests = [compare("=", operand, self(c)) for c, _ in node.branches]
+            tests = [self.meets(operand, self(c)) for c, _ in node.branches]
         out = F.when(tests[0], columns[0])
         for test, value in zip(tests[1:], columns[1:-1], strict=True):
             out = out.when(test, value)
         return Typed(out.otherwise(columns[-1]), kind)
 
+    def meets(self, operand: Typed, value: Typed):
+        """Whether CASE takes a branch; in the compatible mode NULL meets NULL."""
+        same = compare("=", operand, value)
+        return F.coalesce(same, F.lit(False)) | (operand.col.isNull() & value.col.isNull()) if self.compat else same
+
     def cast(self, node: n.Cast) -> Typed:
         x = self(node.value)
         if node.type == "text":

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,8 +29,8 @@ class Output:
 @dataclass
 class Plan:
     frame: DataFrame
-    #: Rows after FROM and JOIN, before WHERE, which statistics count.
-    source: DataFrame
+    #: Counts the rows after FROM and JOIN, before WHERE, for statistics; None for statements without tables.
+    taken: Callable[[], int] | None
     titles: list[str]
     kinds: list[str]
 
@@ -130,8 +132,9 @@ class Planner:
         self.spark, self.catalog, self.compat = spark, catalog, compat
 
     def plan(self, node: n.Select) -> Plan:
-        source, scope = Relations(self.spark, self.catalog, self.compat).build(node.sources)
-        frame = source
+        relations = Relations(self.spark, self.catalog, self.compat)
+        frame, scope = relations.build(node.sources)
+        taken = partial(relations.rows, node.sources)
         if node.where is not None:
             if has_aggregate(node.where):
                 raise QueryError("Aggregates are not allowed in WHERE")
@@ -139,12 +142,12 @@ class Planner:
         nodes = self.expanded(node.items, scope)
         grouped = bool(node.group) or node.having is not None or any(has_aggregate(i.value) for i in nodes) or any(has_aggregate(o.value) for o in node.order)
         if grouped:
-            return self.grouped(node, source, frame, scope, nodes)
+            return self.grouped(node, taken, frame, scope, nodes)
         lower = Lowering(scope, compat=self.compat)
         outputs = [Output(self.title(i), lower(i.value), i.value) for i in nodes]
-        return self.finished(node, source, frame, outputs, lower)
+        return self.finished(node, taken, frame, outputs, lower)
 
-    def grouped(self, node: n.Select, source: DataFrame, frame: DataFrame, scope: Scope, nodes: list[n.Item]) -> Plan:
+    def grouped(self, node: n.Select, taken: Callable[[], int], frame: DataFrame, scope: Scope, nodes: list[n.Item]) -> Plan:
         grouping = Grouping(scope, node.group, self.compat)
         lower = Lowering(scope, grouping.replace, self.compat)
         outputs = [Output(self.title(i), lower(i.value), i.value) for i in nodes]
@@ -152,7 +155,7 @@ class Planner:
         for o in node.order:
             self.order_key(o.value, outputs, lower)
         frame = grouping.apply(frame)
-        return self.finished(node, source, frame if having is None else frame.filter(having), outputs, lower)
+        return self.finished(node, taken, frame if having is None else frame.filter(having), outputs, lower)
 
     def expanded(self, items: tuple[n.Node, ...], scope: Scope) -> list[n.Item]:
         out: list[n.Item] = []
@@ -196,7 +199,7 @@ class Planner:
 
         return Lowering(lower.scope, titled, self.compat)(node)
 
-    def finished(self, node: n.Select, source: DataFrame, frame: DataFrame, outputs: list[Output], lower: Lowering) -> Plan:
+    def finished(self, node: n.Select, taken: Callable[[], int], frame: DataFrame, outputs: list[Output], lower: Lowering) -> Plan:
         names = [f"o{k}" for k in range(len(outputs))]
         keys: list[tuple[str, n.Order]] = []
         hidden: dict[str, Column] = {}
@@ -225,7 +228,7 @@ class Planner:
         if limit is not None:
             frame = frame.limit(limit)
         titles = [o.title for o in outputs]
-        return Plan(frame.select(*[F.col(x).alias(t) for x, t in zip(names, titles, strict=True)]), source, titles, [o.value.kind for o in outputs])
+        return Plan(frame.select(*[F.col(x).alias(t) for x, t in zip(names, titles, strict=True)]), taken, titles, [o.value.kind for o in outputs])
 
     def direction(self, col: Column, order: n.Order) -> Column:
         first = order.ascending if order.nulls_first is None else order.nulls_first

@@ -6,7 +6,9 @@ import glob
 import os
 import re
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import partial
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,17 +63,17 @@ class Engine:
             self.catalog.current = next(iter(self.catalog.databases))
         return self
 
-    def register(self, name: str, frame: DataFrame, database: str = "main") -> Table:
-        """A DataFrame as a table; the first database registered becomes the current one."""
+    def register(self, name: str, frame: DataFrame | Callable[[], DataFrame], database: str = "main") -> Table:
+        """A DataFrame, or a function that reads one when it is named, as a table; the first database registered becomes the current one."""
         target = self.catalog.databases.get(database) or self.catalog.add(database)
         if self.catalog.current is None:
             self.catalog.current = target.name
         return target.add(name, frame)
 
     def load_dir(self, directory: str, names: list[str], database: str = "main") -> Engine:
-        """Registers <directory>/<name>.parquet for each name."""
+        """Registers <directory>/<name>.parquet for each name; a file's footer is read when a statement names it."""
         for name in names:
-            self.register(name, self.spark.read.parquet(f"{directory}/{name}.parquet"), database)
+            self.register(name, partial(self.spark.read.parquet, f"{directory}/{name}.parquet"), database)
         return self
 
     # statements
@@ -84,7 +86,7 @@ class Engine:
         began = time.perf_counter()
         plan = self.planned(text)
         rows = [tuple(r) for r in plan.frame.collect()]
-        taken = plan.source.count() if stats and plan.source is not plan.frame else 0
+        taken = plan.taken() if stats and plan.taken else 0
         return QueryResult(plan.titles, rows, QueryStats(int((time.perf_counter() - began) * 1000), taken, len(rows)))
 
     def planned(self, text: str) -> Plan:
@@ -118,7 +120,7 @@ class Engine:
 
     def small(self, titles: list[str], rows: list[tuple]) -> Plan:
         frame = self.spark.createDataFrame(rows, ", ".join(f"`{t}` string" for t in titles))
-        return Plan(frame, frame, titles, ["text"] * len(titles))
+        return Plan(frame, None, titles, ["text"] * len(titles))
 
 
 def matches(name: str, pattern: str) -> bool:

@@ -307,3 +307,34 @@ def test_like_against_a_reference_matcher():
         text = "".join(pick.choice("ab.\\\n") for _ in range(pick.randint(0, 6)))
         pattern = "".join(pick.choice("ab.%_\\") for _ in range(pick.randint(0, 5)))
         assert bool(re.search(pattern_regex(pattern).replace("\\z", "\\Z"), text)) == matches(text, pattern)
+
+
+def test_numbers_beyond_int_and_bigint(engine):
+    got = rows(engine, "SELECT FLOOR(1e300), CEIL(1e19), FLOOR(-2.5), CEIL(2.1), SUBSTRING('abc', 3000000000), SUBSTRING('abc', 2, 3000000000), SUBSTRING('abc', -3000000000), LEFT('abc', 3000000000), SPLIT('a.b', '.', 3000000000)")
+    assert got == [(1e300, 1e19, -3.0, 3.0, "", "bc", "abc", "abc", None)]
+
+
+def test_case_null_meets_null_only_in_compat(spark, engine):
+    sql = "SELECT CASE NULL WHEN NULL THEN 1 ELSE 0 END, CASE v WHEN NULL THEN 1 WHEN 'x' THEN 2 ELSE 0 END FROM gaps WHERE k IS NULL ORDER BY v NULLS FIRST"
+    assert rows(engine, sql) == [(0, 0), (0, 2)]
+    e = Engine(spark, compat=True)
+    e.register("gaps", engine.catalog.table(("gaps",)).frame)
+    assert rows(e, sql) == [(1, 1), (1, 2)]
+
+
+def test_statistics_never_multiply_a_comma_list_out(spark, engine):
+    e = Engine(spark)
+    for name in ("a", "b", "c", "d"):
+        e.register(name, spark.range(50_000).withColumnRenamed("id", "x"))
+    assert e.run("SELECT COUNT(*) FROM a, b, c, d WHERE a.x = b.x AND b.x = c.x AND c.x = d.x").stats.input_rows == 50_000**4
+    assert e.run("SELECT COUNT(*) FROM a, b JOIN c ON b.x = c.x WHERE a.x = b.x").stats.input_rows == 50_000**2
+    assert engine.run("SELECT COUNT(*) FROM people p, orders o JOIN people q ON q.id = p.id AND o.customer_id = q.id").stats.input_rows == 3
+    assert engine.run("SELECT name FROM people WHERE age > 28 LIMIT 1").stats.input_rows == 5
+
+
+def test_tables_are_read_when_named(spark):
+    e = Engine(spark)
+    e.register("never", lambda: 1 / 0)
+    e.register("t", lambda: spark.range(3))
+    assert rows(e, "SELECT COUNT(*) FROM t") == [(3,)]
+    assert rows(e, "SHOW TABLES") == [("never",), ("t",)]
