@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(frame: DataFrame, *names: str) -> str | list[str]:
+    """Column names that the frame hasn't, one for each of names: callers may hold any column."""
+    taken = {c.lower() for c in frame.columns}
+    mark = "__"
+    while any(c.startswith(mark) for c in taken):
+        mark += "_"
+    return mark + names[0] if len(names) == 1 else [mark + n for n in names]
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine), a new temporary one."""
+    """The folder in spark.checkpoint.dir; where that is unset, a new temporary one if all tasks run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tabulon-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

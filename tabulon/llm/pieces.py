@@ -1,15 +1,20 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
-Adjacent symbols are merged in the order of an agenda: pairs by score, then position, in a heap where a
-pair whose symbols have changed is skipped (for short stretches in a list, which is quicker). Symbols
-without a piece fall back to their bytes. Text is first cut where no piece of the vocabulary joins the two
-neighbouring characters, which no merge can cross, so the agenda runs once for each distinct stretch and
-its result is kept in a bounded cache. Each Arrow batch checks the words it has newly encoded against the
-sentencepiece library.
+Adjacent symbols are merged in the order of an agenda: pairs by score, then position. Symbols without a
+piece fall back to their bytes. Text is first cut where no piece of the vocabulary joins the two
+neighbouring characters, which no merge can cross. Of the stretches between, the distinct ones of up to
+SHORT characters are merged all at once: in each round every stretch takes the first best pair of its
+agenda, in numpy. A longer stretch has a heap of its own, where pairs whose symbols have changed are
+skipped. Each Arrow batch holds every distinct stretch, and one text as it stands, against the sentencepiece
+library's encoding and decoding.
+
+Memory follows PART characters, not the text: a longer text is taken in parts, cut where no merge can cross,
+whose ids and texts are joined (or hashed one after the other). Only a stretch itself is never cut.
 
 Defined cases: a null text counts as empty; an empty text has no ids and decodes to itself; U+2581 in a
 text is a space, as in the library; whole texts of any length are encoded; repeated rows and ids give a
-row each; an empty table gives no rows; the caller's other columns pass through unread.
+row each; an empty table gives no rows; the caller's other columns pass through unread, whatever their
+names (columns named as the result's are replaced).
 
 Models handled: identity normalisation with a dummy prefix, white space kept, byte fallback. Others are
 refused by the check of the first batch.
@@ -19,19 +24,26 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import groupby
 from operator import concat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import table
+from tabulon.llm.common import fresh, table
+from tabulon.llm.words import mix
 
 SPACE = "▁"
+#: Stretches of up to so many characters are merged together.
+SHORT = 48
+#: Characters that are encoded at a time.
+PART = 1 << 20
+#: A character that no piece has; it keeps a part's first symbol from the library's prefix.
+GUARDS = map(chr, range(0xE000, 0xF8FF))
 
 
 def default_model() -> str:
@@ -57,17 +69,112 @@ class Pieces:
         self.ids = {self.text[i]: i for i in range(n) if i not in special}
         #: How late a pair that makes this piece is merged.
         self.rank = {p: -lib.get_score(i) for p, i in self.ids.items()}
-        self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.digits = [str(i) for i in range(n)]
-        #: Text of the pieces that decode by themselves.
-        self.plain = [None if i in special else self.text[i].replace(SPACE, " ") for i in range(n)]
+        #: What each piece decodes to, as bytes.
+        self.raw = [self.text[i].replace(SPACE, " ").encode() for i in range(n)]
+        for i, b in self.byte_of.items():
+            self.raw[i] = bytes([b])
+        for i in self.control:
+            self.raw[i] = b""
+        self.raw[self.unknown] = " ⁇ ".encode()
+        self.guard = next(c for c in GUARDS if not any(c in p for p in self.ids))
+        self.tables(n)
+
+    def tables(self, n: int) -> None:
+        """Symbols are numbered: pieces by their ids, then characters that only longer pieces have, then any other."""
+        chars = sorted({c for p in self.ids for c in p})
+        symbol = dict(self.ids)
+        for c in chars:
+            symbol.setdefault(c, n + len(symbol) - len(self.ids))
+        self.other = n + len(symbol) - len(self.ids)
+        #: By code point: the symbol's number, and a number of the characters that pieces have (0: none has it).
+        self.symbols = np.full(0x110000, self.other, np.int32)
+        self.classes = np.zeros(0x110000, np.int32)
+        for k, c in enumerate(chars, 1):
+            self.symbols[ord(c)], self.classes[ord(c)] = symbol[c], k
+        self.wide = len(chars) + 1
+        #: Whether some piece has the characters of two classes side by side.
+        self.joined = np.zeros(self.wide * self.wide, bool)
+        for p in self.ids:
+            row = self.classes[np.frombuffer(p.encode("utf-32-le"), np.uint32)]
+            self.joined[row[:-1] * self.wide + row[1:]] = True
+        #: Places of pieces in the agenda's order; the last stands for no piece.
+        late = np.full(n + 1, np.inf)
+        for p, i in self.ids.items():
+            late[i] = self.rank[p]
+        self.order = np.unique(late, return_inverse=True)[1].astype(np.int64)
+        self.never = int(self.order[n])
+        # pairs of symbols that a piece joins, by slots of their hashes
+        left, right, made = [], [], []
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                a, b = symbol.get(p[:k]), symbol.get(p[k:])
+                if a is not None and b is not None:
+                    left.append(a)
+                    right.append(b)
+                    made.append(i)
+        keys = self.pair(np.array(left, np.int64), np.array(right, np.int64))
+        slot = self.slot(keys)
+        at = np.argsort(slot, kind="stable")
+        self.begins = np.searchsorted(slot[at], np.arange((1 << 20) + 1)).astype(np.int32)
+        self.deepest = int(np.diff(self.begins).max()) if len(at) else 0
+        self.keys = np.concatenate([keys[at], np.full(self.deepest, -1)])
+        self.made = np.concatenate([np.array(made, np.int32)[at], np.full(self.deepest, n, np.int32)])
+        self.none = n
+
+    def pair(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return a.astype(np.int64) << 32 | b.astype(np.int64)
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix(keys.view(np.uint64)) >> np.uint64(44)).astype(np.int64)
+
+    def joins(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The pieces that join symbols a[i] and b[i]; `none` where there is none."""
+        keys = self.pair(a, b)
+        at = self.begins[self.slot(keys)]
+        out = np.where(self.keys[at] == keys, self.made[at], self.none)
+        for d in range(1, self.deepest):
+            same = self.keys[at + d] == keys
+            out[same] = self.made[at + d][same]
+        return out
+
+    def agenda(self, symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What merging leaves of the stretches symbols[first[k]:first[k + 1]]: symbols, and their number in each.
+
+        One round takes the best pair of every stretch that still has one, the leftmost of equals.
+        """
+        symbols = symbols.copy()
+        alive = np.ones(len(symbols), bool)
+        place, begin = np.arange(len(symbols)), first[:-1]
+        made = np.full(len(symbols), self.none, np.int32)
+        made[:-1] = self.joins(symbols[:-1], symbols[1:])
+        made[first[1:] - 1] = self.none
+        while len(begin):
+            at = np.arange(len(place))
+            best = np.minimum.reduceat(self.order[made] << 32 | at, begin)
+            open_ = best >> 32 < self.never
+            i = best[open_] & 0xFFFFFFFF
+            if not len(i):
+                break
+            size = np.diff(np.append(begin, len(place)))
+            symbols[place[i]] = made[i]
+            alive[place[i + 1]] = False
+            stays = np.repeat(open_, size)
+            stays[i + 1] = False
+            # where the merged symbols are now, and whether their stretches go on behind and before them
+            ends = (begin + size)[open_]
+            starts = begin[open_]
+            after, before = i + 2 < ends, i > starts
+            made[i] = self.none
+            made[i[after]] = self.joins(symbols[place[i[after]]], symbols[place[i[after] + 2]])
+            made[i[before] - 1] = self.joins(symbols[place[i[before] - 1]], symbols[place[i[before]]])
+            place, made = place[stays], made[stays]
+            size = size[open_] - 1
+            begin = np.cumsum(size) - size
+        return symbols[alive], np.add.reduceat(alive, first[:-1], dtype=np.int64)
 
     def merge(self, stretch: str) -> list[str]:
-        """The symbols that the agenda leaves of a stretch."""
-        if stretch in self.ids and len(stretch) == 1:
-            return [stretch]
-        if len(stretch) <= 24:
-            return self.merge_short(stretch)
+        """The symbols that the agenda leaves of one stretch of any length."""
         symbols: list[str | None] = list(stretch)
         n, rank = len(symbols), self.rank.get
         agenda = [(r, i, i + 1, both) for i, both in enumerate(map(concat, stretch, stretch[1:])) if (r := rank(both)) is not None]
@@ -95,70 +202,142 @@ class Pieces:
                     push(agenda, (r, h, i, new))
         return [x for x in symbols if x is not None]
 
-    def merge_short(self, stretch: str) -> list[str]:
-        """The same with the agenda as a list by position, whose first least entry is next."""
-        symbols, rank, none = list(stretch), self.rank.get, float("inf")
-        agenda = list(map(rank, map(concat, stretch, stretch[1:]), repeat(none)))
-        while agenda:
-            best = min(agenda)
-            if best is none:
-                break
-            i = agenda.index(best)
-            symbols[i] += symbols.pop(i + 1)
-            del agenda[i]
-            if i < len(agenda):
-                agenda[i] = rank(symbols[i] + symbols[i + 1], none)
-            if i:
-                agenda[i - 1] = rank(symbols[i - 1] + symbols[i], none)
-        return symbols
+    def fallback(self, symbol: str) -> list[int]:
+        return [self.byte[b] for b in symbol.encode("utf-8", "surrogatepass")] if self.byte else [self.unknown]
 
     def stretch_ids(self, stretch: str) -> list[int]:
         found = []
         for symbol in self.merge(stretch):
             known = self.ids.get(symbol)
-            if known is not None:
-                found.append(known)
-            elif self.byte:
-                found += [self.byte[b] for b in symbol.encode("utf-8", "surrogatepass")]
-            else:
-                found.append(self.unknown)
+            found += self.fallback(symbol) if known is None else [known]
         return found
 
-    def cut(self, marked: str) -> list[str]:
-        """The text's stretches: parts that no merge can join."""
-        pairs = list(map(self.joined.__contains__, map(concat, marked, marked[1:])))
-        if all(pairs):
-            return [marked]
-        parts, at = [], 0
-        for k, together in enumerate(pairs, 1):
-            if not together:
-                parts.append(marked[at:k])
-                at = k
-        parts.append(marked[at:])
-        return parts
+    def encode(self, parts: list[str]) -> tuple[list[list[int]], list[str], list[list[int]]]:
+        """Ids of each of some not empty texts, in which spaces are marks already; the distinct stretches and their ids."""
+        lengths = np.array([len(p) for p in parts])
+        line = "".join(parts)
+        code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = self.classes[code]
+        cut = ~self.joined[kind[:-1] * self.wide + kind[1:]]
+        borders = np.cumsum(lengths)
+        cut[borders[:-1] - 1] = True
+        starts = np.concatenate([[0], np.flatnonzero(cut) + 1])
+        sizes = np.diff(np.append(starts, len(code)))
+        rep, inverse = distinct(code, starts, sizes)
+        # ids of distinct stretches, short ones first
+        begin, size = starts[rep], sizes[rep]
+        short = size <= SHORT
+        first = np.concatenate([[0], np.cumsum(size[short])])
+        where = ranges(begin[short], size[short])
+        ids, count = self.agenda(self.symbols[code[where]], first) if len(where) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        spelt = ids >= self.none
+        if spelt.any():  # characters without a piece are stretches of one symbol, or left alone in theirs
+            ids, count = self.spelt(ids, count, spelt, code[where], first)
+        order = np.concatenate([np.flatnonzero(short), np.flatnonzero(~short)])
+        stretches = [line[b : b + s] for b, s in zip(begin[order].tolist(), size[order].tolist(), strict=True)]
+        long = [self.stretch_ids(x) for x in stretches[len(first) - 1 :]]
+        number = np.empty(len(rep), np.int64)
+        number[order] = np.arange(len(rep))
+        count = np.concatenate([count, np.array([len(x) for x in long], np.int64)])
+        ids = np.concatenate([ids, *[np.array(x, np.int32) for x in long]]) if long else ids
+        offset = np.cumsum(count) - count
+        # each stretch of the texts takes its ids
+        use = number[inverse]
+        whole = ids[ranges(offset[use], count[use])]
+        upto = np.concatenate([[0], np.cumsum(count[use])])
+        edge = upto[np.searchsorted(starts, np.concatenate([[0], borders]))].tolist()
+        own = ids.tolist()
+        each = [own[a:b] for a, b in zip(offset.tolist(), (offset + count).tolist(), strict=True)]
+        return [whole[a:b].tolist() for a, b in zip(edge, edge[1:], strict=False)], stretches, each
+
+    def spelt(self, ids: np.ndarray, count: np.ndarray, spelt: np.ndarray, code: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and counts with the bytes of the characters that have no piece."""
+        owner = np.repeat(np.arange(len(count)), count)
+        out = []
+        for k in np.unique(owner[spelt]).tolist():
+            out.append((k, self.stretch_ids(code[first[k] : first[k + 1]].tobytes().decode("utf-32-le", "surrogatepass"))))
+        new = count.copy()
+        new[[k for k, _ in out]] = [len(x) for _, x in out]
+        result = np.empty(int(new.sum()), np.int32)
+        begin, old = np.cumsum(new) - new, np.cumsum(count) - count
+        same = np.ones(len(count), bool)
+        same[[k for k, _ in out]] = False
+        result[ranges(begin[same], new[same])] = ids[ranges(old[same], count[same])]
+        for k, x in out:
+            result[begin[k] : begin[k] + len(x)] = x
+        return result, new
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """The text of ids; `first` drops the space of the dummy prefix."""
         try:
-            text = "".join([self.plain[i] for i in ids])
-            return text[1:] if first and text.startswith(" ") else text
-        except TypeError:  # a byte or a special piece
-            pass
+            text = b"".join([self.raw[i] for i in ids]).decode()
+        except UnicodeDecodeError:  # bytes that are no characters
+            text = self.decode_bytes(ids)
+        if first and text.startswith(" "):
+            begins = next((i for i in ids if i not in self.control), None)  # a byte keeps its space
+            if begins not in self.byte_of and begins != self.unknown:
+                return text[1:]
+        return text
+
+    def decode_bytes(self, ids: list[int]) -> str:
         out: list[str] = []
-        held = bytearray()
-        for i in [*ids, None]:
-            if i in self.byte_of:
-                held.append(self.byte_of[i])
-                continue
-            if held:
-                out.append(decoded_bytes(bytes(held)))
-                held.clear()
-            if i is None or i in self.control:
-                continue
-            out.append(" ⁇ " if i == self.unknown else self.text[i].replace(SPACE, " "))
-        text = "".join(out)
-        begins = next((self.plain[i] for i in ids if i not in self.control), None)  # bytes keep their space
-        return text[1:] if first and begins is not None and begins.startswith(" ") else text
+        for is_byte, run in groupby(ids, self.byte_of.__contains__):
+            data = b"".join([self.raw[i] for i in run])
+            out.append(decoded_bytes(data) if is_byte else data.decode())
+        return "".join(out)
+
+    def parts(self, text: str, most: int = PART) -> Iterator[str]:
+        """The text with its prefix and marks, in parts of about `most` characters that no merge joins."""
+        marked = SPACE + text.replace(" ", SPACE)
+        at = 0
+        while len(marked) - at > most:
+            to = at + most
+            while to < len(marked) and self.together(marked[to - 1], marked[to]):
+                to += 1
+            yield marked[at:to]
+            at = to
+        if at < len(marked):
+            yield marked[at:]
+
+    def together(self, a: str, b: str) -> bool:
+        return bool(self.joined[self.classes[ord(a)] * self.wide + self.classes[ord(b)]])
+
+    def check(self, stretches: list[str], ids: list[list[int]], decoded: list[str]) -> None:
+        """Raises if the library encodes a stretch or decodes its ids otherwise.
+
+        The library puts a mark before what it is asked, which stands for a stretch's own; other stretches come behind the guard.
+        """
+        plain = [len(x) > 1 and x[0] == SPACE for x in stretches]
+        told = self.library.encode([x[1:] if p else self.guard + x for x, p in zip(stretches, plain, strict=True)], num_threads=1)
+        back = self.library.decode(ids, num_threads=1)
+        guard = len(self.library.encode(self.guard))
+        for x, p, own, theirs, text, other in zip(stretches, plain, ids, told, decoded, back, strict=True):
+            if own != (theirs if p else theirs[guard:]):
+                raise ValueError(f"the library encodes {x[:80]!r} otherwise than the agenda")
+            if text != other:
+                raise ValueError(f"the library decodes the ids of {x[:80]!r} otherwise")
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), then those of start[1], ..."""
+    upto = np.cumsum(size)
+    return np.repeat(start - upto + size, size) + np.arange(int(upto[-1]) if len(upto) else 0)
+
+
+def distinct(code: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One place of each distinct stretch, and which of them each stretch is; equal hashes are held against the characters."""
+    h = mix(sizes.astype(np.uint64))
+    left = np.arange(len(starts))
+    for k in range(min(SHORT, int(sizes.max()))):
+        left = left[sizes[left] > k]
+        h[left] = mix(h[left] ^ code[starts[left] + k])
+    long = np.flatnonzero(sizes > SHORT)  # taken as they are
+    h[long] = mix(long.astype(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15))
+    _, rep, inverse = np.unique(h, return_index=True, return_inverse=True)
+    first = rep[inverse]
+    if (sizes[first] != sizes).any() or (code[ranges(starts[first], sizes)] != code[ranges(starts, sizes)]).any():
+        return np.arange(len(starts)), np.arange(len(starts))
+    return rep, inverse
 
 
 def decoded_bytes(data: bytes) -> str:
@@ -173,107 +352,65 @@ def decoded_bytes(data: bytes) -> str:
             at += bad.start + 1
 
 
-class Codec:
-    """Encodes and decodes texts with kept results for words, in two generations of bounded size."""
-
-    def __init__(self, model: str, kept: int = 120_000):
-        self.pieces, self.kept = Pieces(model), kept
-        self.new: dict[str, tuple[str, int, str]] = {}
-        self.old: dict[str, tuple[str, int, str]] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.unchecked: list[tuple[str, list[int], str]] = []
-        self.fresh = False
-        self.crosses = any(SPACE in p.lstrip(SPACE) for p in self.pieces.ids)
-        #: Parts with and without line feeds, where no piece has one.
-        self.lines = None if any("\n" in p for p in self.pieces.ids) else re.compile(r"\n+|[^\n]+")
-        self.words = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-
-    def word(self, marked: str, whole: bool = True) -> tuple[str, int, str]:
-        """(ids joined by commas, their number, decoded text) of a word with its leading space marks."""
-        found = self.new.get(marked) or self.old.get(marked)
-        if found is None:
-            parts = self.sides(marked) if whole else []
-            if len(parts) > 1:  # made of words that are kept, so not kept itself
-                return self.composed(marked, parts)
-            ids: list[int] = []
-            for part in self.pieces.cut(marked):
-                have = self.parts.get(part)
-                if have is None:
-                    have = self.pieces.stretch_ids(part)
-                    if len(part) <= 64:
-                        if len(self.parts) >= self.kept:
-                            self.parts.clear()
-                        self.parts[part] = have
-                ids += have
-            found = ",".join([self.pieces.digits[i] for i in ids]), len(ids), self.pieces.decode(ids, first=False)
-            if marked[0] == SPACE:
-                self.unchecked.append((marked, ids, found[2]))
-            else:
-                self.fresh = True
-        if len(marked) <= 256:
-            if len(self.new) >= self.kept:
-                self.old, self.new = self.new, {}
-            self.new[marked] = found
-        return found
-
-    def sides(self, marked: str) -> list[str]:
-        """The word cut at line feeds and before a last mark, where no merge can cross."""
-        out = []
-        for part in self.lines.findall(marked) if self.lines and "\n" in marked else [marked]:
-            at = len(part) - 1
-            if at > 0 and not part[at].isalnum() and part[:at] != SPACE and part[at - 1 :] not in self.pieces.joined:
-                out += [part[:at], part[at:]]
-            else:
-                out.append(part)
-        return out
-
-    def composed(self, marked: str, parts: list[str]) -> tuple[str, int, str]:
-        outer, self.fresh = self.fresh, False
-        found = [self.word(p, whole=False) for p in parts]
-        out = ",".join([f[0] for f in found]), sum([f[1] for f in found]), "".join([f[2] for f in found])
-        if self.fresh and marked[0] == SPACE:  # it holds a new part that the library can't be asked alone
-            self.unchecked.append((marked, [int(x) for x in out[0].split(",")], out[2]))
-            self.fresh = outer
-        self.fresh = self.fresh or outer
-        return out
+_PIECES: dict[str, Pieces] = {}
 
-    def text(self, text: str) -> tuple[str, int, str]:
-        """(ids joined by commas, their number, decode(ids)) of a whole text."""
-        if not text:
-            return "", 0, ""
-        marked = SPACE + text.replace(" ", SPACE)
-        if self.crosses:
-            parts = [marked]
-        elif SPACE * 2 in marked or marked[-1] == SPACE:
-            parts = self.words.findall(marked)
-        else:
-            parts = [SPACE + x for x in marked[1:].split(SPACE)]
-        new = self.new
-        found = [new.get(p) or self.word(p) for p in parts]
-        return ",".join([f[0] for f in found]), sum([f[1] for f in found]), "".join([f[2] for f in found])[1:]
 
-    def check(self) -> None:
-        """Raises if the library encodes or decodes any newly met word otherwise."""
-        if self.unchecked:
-            library = self.pieces.library
-            encoded = library.encode([w[1:] for w, _, _ in self.unchecked], num_threads=1)
-            decoded = library.decode([own for _, own, _ in self.unchecked], num_threads=1)
-            for (word, own, text), theirs, back in zip(self.unchecked, encoded, decoded, strict=True):
-                if word != SPACE and own != theirs or word == SPACE and len(own) != 1:
-                    raise ValueError(f"the library encodes {word!r} as {theirs}, the agenda as {own}")
-                if text[1:] != back:
-                    raise ValueError(f"the library decodes {own} as {back!r}, this module as {text[1:]!r}")
-            self.unchecked.clear()
+def pieces_of(model: str) -> Pieces:
+    """One vocabulary for each worker process and model."""
+    if model not in _PIECES:
+        _PIECES[model] = Pieces(model)
+    return _PIECES[model]
 
 
-_CODECS: dict[str, Codec] = {}
+class Coded:
+    """The results of one text, gathered from its parts."""
 
+    def __init__(self, digests: bool):
+        self.n, self.digests = 0, digests
+        self.ids, self.text = (hashlib.sha256(), hashlib.sha256()) if digests else ([], [])
 
-def codec(model: str) -> Codec:
-    """One codec for each worker process and model."""
-    if model not in _CODECS:
-        _CODECS[model] = Codec(model)
-    return _CODECS[model]
+    def add(self, pieces: Pieces, ids: list[int], text: str) -> None:
+        if self.digests:
+            self.ids.update(("," if self.n else "").encode() + ",".join([pieces.digits[i] for i in ids]).encode())
+            self.text.update(text.encode("utf-8", "surrogatepass"))
+        else:
+            self.ids += ids
+            self.text.append(text)
+        self.n += len(ids)
+
+    def result(self) -> tuple:
+        return (self.n, self.ids.hexdigest(), self.text.hexdigest()) if self.digests else (self.n, self.ids, "".join(self.text))
+
+
+def coded(pieces: Pieces, texts: list[str], digests: bool, most: int = PART) -> list[tuple]:
+    """(number of ids, ids, decoded text) of each text, or with digests their SHA-256; all checked."""
+    out = [Coded(digests) for _ in texts]
+    held: list[tuple[int, str, bool]] = []
+
+    def flush() -> None:
+        parts = [p for _, p, _ in held]
+        ids, stretches, each = pieces.encode(parts)
+        pieces.check(stretches, each, [pieces.decode(x) for x in each])
+        decoded = [pieces.decode(x, first=begins) for x, (_, _, begins) in zip(ids, held, strict=True)]
+        for j, (p, (_, _, begins)) in enumerate(zip(parts, held, strict=True)):
+            if begins and len(p) <= most // 16:  # one text as it stands
+                pieces.check([p], [ids[j]], [decoded[j]])
+                break
+        for (k, _, _), x, text in zip(held, ids, decoded, strict=True):
+            out[k].add(pieces, x, text)
+        held.clear()
+
+    size = 0
+    for k, text in enumerate(texts):
+        for j, part in enumerate(pieces.parts(text, most) if text else ()):
+            if size + len(part) > most and held:
+                flush()
+                size = 0
+            held.append((k, part, j == 0))
+            size += len(part)
+    if held:
+        flush()
+    return [x.result() for x in out]
 
 
 def encode_decode(docs: DataFrame, model: str | None = None, column: str = "text", digests: bool = False) -> DataFrame:
@@ -282,26 +419,17 @@ def encode_decode(docs: DataFrame, model: str | None = None, column: str = "text
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["n_tokens", "ids", "decoded"]
     kinds = [T.LongType(), *[T.StringType()] * 2] if digests else [T.LongType(), T.ArrayType(T.IntegerType()), T.StringType()]
     keep = [c for c in docs.columns if c not in names and (c != column or not digests)]
-    source = docs.select(*keep, F.coalesce(column, F.lit("")).alias("__text"))
+    source = docs.select(*keep, F.coalesce(column, F.lit("")).alias(fresh(docs, "whole")))
     schema = T.StructType([*source.schema.fields[:-1], *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]])
+    arrow = [pa.int64(), *([pa.string()] * 2 if digests else [pa.list_(pa.int32()), pa.string()])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = codec(model)
+        pieces = pieces_of(model)
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                n, ids, decoded = [], [], []
-                for text in batch.column(batch.num_columns - 1).to_pylist():
-                    joined, count, back = coder.text(text)
-                    n.append(count)
-                    if digests:
-                        ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                        decoded.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-                    else:
-                        ids.append([int(x) for x in joined.split(",")] if joined else [])
-                        decoded.append(back)
-                coder.check()
-                extra = [pa.array(n, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                rows = coded(pieces, batch.column(batch.num_columns - 1).to_pylist(), digests)
+                extra = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*keep, *names])
 
     return source.mapInArrow(run, schema)
