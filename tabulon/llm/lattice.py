@@ -26,13 +26,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabulon.llm.common import Scratch, table
 from tabulon.llm.pieces import SPACE, default_model
 from tabulon.llm.words import LOWER_BYTES
 
+#: Words of more bytes are taken one by one, over their positions.
+LONG = 64
 #: Weight of the vocabulary's own scores against the corpus, in pieces.
 PRIOR = 5000.0
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -123,16 +127,63 @@ def vocabulary(model: str) -> Vocabulary:
 
 
 def by_length(words: list[bytes], most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(places, bytes as rows) of words of one length with their mark, in blocks of bounded size."""
+    """(places, bytes as rows) of words of one length with their mark, in blocks of bounded size; long words each alone."""
     lengths = np.array([len(w) for w in words])
     for length in np.unique(lengths):
         places = np.flatnonzero(lengths == length)
-        step = max(1, most // (int(length) + 1) // 8)
+        step = max(1, most // (int(length) + 1) // 8) if length <= LONG else 1
         for k in range(0, len(places), step):
             part = places[k : k + step]
             yield part, np.frombuffer(b"".join(b" " + words[i] for i in part), np.uint8).reshape(len(part), length + 1)
 
 
+def matches(vocab: Vocabulary, data: np.ndarray, low: int, high: int) -> list[list[tuple[int, int]]]:
+    """For each end from low + 1 to high, the (start, piece) of all pieces that end there."""
+    begin = max(0, low + 1 - vocab.longest)
+    code = data[begin:high].astype(np.uint64) + np.uint64(1)
+    h = np.zeros(len(code), np.uint64)
+    found: list[list[tuple[int, int]]] = [[] for _ in range(high - low)]
+    for length in range(1, min(vocab.longest, len(code)) + 1):
+        h = h[: len(code) - length + 1] * _BASE + code[length - 1 :]
+        first = max(0, low + 1 - length - begin)
+        ids = vocab.find(h[first:])
+        for k in np.flatnonzero(ids != vocab.size).tolist():
+            start = begin + first + k
+            found[start + length - low - 1].append((start, int(ids[k])))
+    return found
+
+
+def summed(terms: list[float]) -> float:
+    top = max(terms, default=-math.inf)
+    return top if top == -math.inf else top + math.log(sum([math.exp(t - top) for t in terms]))
+
+
+def forward_long(vocab: Vocabulary, data: np.ndarray, logp: np.ndarray, step: int = 4096) -> np.ndarray:
+    """log of the sum over all segmentations of data[:k], for every k; work and memory follow the pieces met."""
+    at = np.full(len(data) + 1, -np.inf)
+    at[0] = 0
+    for low in range(0, len(data), step):
+        for end, here in enumerate(matches(vocab, data, low, min(low + step, len(data))), low + 1):
+            at[end] = summed([at[start] + logp[piece] for start, piece in here])
+    return at
+
+
+def expected_long(vocab: Vocabulary, data: np.ndarray, logp: np.ndarray, step: int = 4096) -> np.ndarray:
+    """Expected counts of the pieces over all segmentations of one long word; the way back finds its pieces anew."""
+    ahead = forward_long(vocab, data, logp, step)
+    back = np.full(len(data) + 1, -np.inf)
+    back[-1] = 0
+    out = np.zeros(vocab.size + 1)
+    for low in range((len(data) - 1) // step * step, -1, -step):
+        high = min(low + step, len(data))
+        for end, here in zip(range(high, low, -1), reversed(matches(vocab, data, low, high)), strict=True):
+            for start, piece in here:
+                value = logp[piece] + back[end]
+                out[piece] += math.exp(min(ahead[start] + value - ahead[-1], 0.0)) if value > -math.inf else 0.0
+                back[start] = np.logaddexp(back[start], value)
+    return out[:-1]
+
+
 def edges(vocab: Vocabulary, rows: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
     """(start, end, piece ids) of every span that may be a piece, by end."""
     n, length = rows.shape
@@ -152,6 +203,8 @@ def edges(vocab: Vocabulary, rows: np.ndarray) -> Iterator[tuple[int, int, np.nd
 
 def forward(vocab: Vocabulary, rows: np.ndarray, logp: np.ndarray) -> np.ndarray:
     """log of the sum over all segmentations of each row."""
+    if rows.shape[1] > LONG + 1:
+        return np.array([forward_long(vocab, row, logp)[-1] for row in rows])
     at = np.full((rows.shape[1] + 1, len(rows)), -np.inf)
     at[0] = 0
     for start, end, ids in edges(vocab, rows):
@@ -161,6 +214,8 @@ def forward(vocab: Vocabulary, rows: np.ndarray, logp: np.ndarray) -> np.ndarray
 
 def expected(vocab: Vocabulary, rows: np.ndarray, logp: np.ndarray) -> np.ndarray:
     """Expected counts of the pieces over all segmentations of all rows."""
+    if rows.shape[1] > LONG + 1:
+        return sum((expected_long(vocab, row, logp) for row in rows), np.zeros(vocab.size))
     found = list(edges(vocab, rows))
     ahead = np.full((rows.shape[1] + 1, len(rows)), -np.inf)
     back = ahead.copy()
@@ -188,7 +243,7 @@ def log_weights(vocab: Vocabulary, weights: np.ndarray, words: float) -> tuple[n
 
 @dataclass
 class Model:
-    """The learned counts: `words` (word binary, n, c, lp natural log) and the numbers that scores need."""
+    """The learned counts: `words` (word binary, n, c; natural logs lp of the mixture, lat of the lattice alone) and the numbers that scores need."""
 
     words: DataFrame
     ends: int
@@ -274,7 +329,7 @@ def train(scratch: Scratch, docs: DataFrame, learn: str, model: str | None = Non
     total = max(held + ends, 1)
     new = max(discount * types, 0.5) / total
     logp, stop = log_weights(vocab, counts, spelt)
-    logp, spell = sc.broadcast(logp), stop + math.log(new)
+    logp, spell, alone = sc.broadcast(logp), stop + math.log(new), stop + math.log(max(total - ends, 0.5) / total)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
@@ -282,58 +337,65 @@ def train(scratch: Scratch, docs: DataFrame, learn: str, model: str | None = Non
             c = batch.column(2).to_numpy().astype(float)
             lp = np.empty(batch.num_rows)
             for places, rows in by_length(batch.column(0).to_pylist()):
-                lp[places] = forward(v, rows, logp.value) + spell
+                lp[places] = forward(v, rows, logp.value)
             with np.errstate(divide="ignore"):
-                lp = np.logaddexp(lp, np.log(np.maximum(c - discount, 0) / total))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lp)], names=["word", "n", "c", "lp"])
+                both = np.logaddexp(lp + spell, np.log(np.maximum(c - discount, 0) / total))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(both), pa.array(lp + alone)], names=["word", "n", "c", "lp", "lat"])
 
-    scored = scratch.save(words.mapInArrow(score, "word binary, n long, c long, lp double"), "words")
+    scored = scratch.save(words.mapInArrow(score, "word binary, n long, c long, lp double, lat double"), "words")
     scratch.drop("counts")
     return Model(scored, ends, held + ends, types + (ends > 0), discount, total, counts, head_from)
 
 
 def score(scratch: Scratch, docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """keep, n_tokens, n_known, base_score and score (log10) of every row of docs (text)."""
-    top = model.words.filter(F.col("n") >= model.head_from).select("word", "c", "lp").toArrow()
-    # at most `head` words: their bound is a parameter of train()
-    head = scratch.spark.sparkContext.broadcast((top.column("word").to_pylist(), top.column("c").to_numpy(), top.column("lp").to_numpy()))
-    base_of, end_base, end_known, end_lp = model.base, float(model.base(np.array([model.ends]))[0]), int(model.ends > 0), model.end / math.log(10)
-    most, kinds = model.tokens + 0.5 * (model.types + 1), "rid long, word binary, k long, n_known long, base double, lp double"
-    del base_of
+    """keep, n_tokens, n_known, base_score, score and lattice_score (log10) of every row of docs (text).
+
+    lattice_score is the marginal of the lattice alone, without the words' counts. Rows are numbered once, in the
+    plan that is saved, and all that follows reads what was saved.
+    """
+    top = model.words.filter((F.col("n") >= model.head_from) & (F.octet_length("word") <= LONG)).select("word", "c", "lp", "lat").toArrow()
+    # at most `head` words of at most LONG bytes: their bound is a parameter of train()
+    head = scratch.spark.sparkContext.broadcast((top.column("word").to_pylist(), *[top.column(c).to_numpy() for c in ("c", "lp", "lat")]))
+    end_base, end_known, end_lp = float(model.base(np.array([model.ends]))[0]), int(model.ends > 0), model.end / math.log(10)
+    most = model.tokens + 0.5 * (model.types + 1)
+    numbers = {"k": "long", "n_known": "long", "base": "double", "lp": "double", "lat": "double"}
+    held = docs.select(F.struct(*keep).alias("kept"), "text").withColumn("rid", F.monotonically_increasing_id())
+    kinds = T.StructType([T.StructField("rid", T.LongType()), T.StructField("kept", held.schema["kept"].dataType), T.StructField("word", T.BinaryType()), *[T.StructField(n, T.LongType() if k == "long" else T.DoubleType()) for n, k in numbers.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, c, lp = head.value
+        words, c, lp, lat = head.value
         place = {w: i for i, w in enumerate(words)}
-        base = np.append(np.log10((c + 0.5) / most), 0.0)
-        known, model_lp = np.append(c > 0, False), np.append(lp / math.log(10), 0.0)
+        values = [np.append(x, 0.0) for x in (np.log10((c + 0.5) / most), lp / math.log(10), lat / math.log(10))]
+        known = np.append(c > 0, False)
         last, get = len(words), place.get
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                out: tuple[list, ...] = ([], [], [], [], [], [])
-                for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                row, word, *sums = out = tuple([] for _ in range(7))
+                for k, text in enumerate(batch.column(1).to_pylist()):
                     said = tokens(text)
                     found = np.array([get(w, last) for w in said], np.int64) if said else np.zeros(0, np.int64)
                     rest = Counter([said[i] for i in np.flatnonzero(found == last)])
-                    rows = (rid, None, len(said) + 1, int(known[found].sum()) + end_known, float(base[found].sum()) + end_base, float(model_lp[found].sum()) + end_lp)
-                    for column, x in zip(out, rows, strict=True):
+                    base, mixed, alone = [float(v[found].sum()) for v in values]
+                    for column, x in zip(out, (k, None, len(said) + 1, int(known[found].sum()) + end_known, base + end_base, mixed + end_lp, alone + end_lp), strict=True):
                         column.append(x)
                     if rest:
                         n = len(rest)
-                        for column, x in zip(out, ([rid] * n, list(rest), list(rest.values()), [0] * n, [0.0] * n, [0.0] * n), strict=True):
+                        for column, x in zip(out, ([k] * n, list(rest), list(rest.values()), [0] * n, *[[0.0] * n] * 3), strict=True):
                             column.extend(x)
-                types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=["rid", "word", "k", "n_known", "base", "lp"])
+                row = pa.array(row, pa.int64())
+                kept = batch.column(0).take(pa.compute.if_else(pa.array([w is None for w in word], pa.bool_()), row, None))
+                types = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
+                yield pa.RecordBatch.from_arrays([batch.column(2).take(row), kept, pa.array(word, pa.binary()), *[pa.array(x, t) for x, t in zip(sums, types, strict=True)]], names=["rid", "kept", "word", *numbers])
 
-    rows = scratch.save(docs.select(*keep, "text").withColumn("rid", F.monotonically_increasing_id()).drop("text"), "rows") if keep else None
-    numbered = docs.select("text").withColumn("rid", F.monotonically_increasing_id()).select("rid", "text")
-    parts = scratch.save(numbered.mapInArrow(run, kinds), "parts")
-    tail = parts.filter("word IS NOT NULL").select("rid", "word", "k").join(model.words.select("word", "c", F.col("lp").alias("wlp")), "word", "left")
-    c = F.coalesce("c", F.lit(0))
-    tail = tail.select("rid", F.lit(0).cast("long").alias("k"), F.when(c > 0, F.col("k")).otherwise(0).alias("n_known"), (F.col("k") * model.base(c)).alias("base"), (F.col("k") * F.col("wlp") / math.log(10)).alias("lp"))
-    both = parts.filter("word IS NULL").select("rid", "k", "n_known", "base", "lp").union(tail)
-    sums = both.groupBy("rid").agg(F.sum("k").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("lp").alias("score"))
-    return rows.join(sums, "rid").drop("rid")
+    parts = scratch.save(held.mapInArrow(run, kinds), "parts")
+    tail = parts.filter("word IS NOT NULL").select("rid", "word", "k").join(model.words.select("word", "c", "lp", "lat"), "word", "left")
+    c, k = F.coalesce("c", F.lit(0)), F.col("k")
+    tail = tail.select("rid", F.when(c > 0, k).otherwise(0).alias("known"), (k * model.base(c)).alias("base2"), (k * F.col("lp") / math.log(10)).alias("lp2"), (k * F.col("lat") / math.log(10)).alias("lat2"))
+    tail = tail.groupBy("rid").agg(*[F.sum(x).alias(x) for x in ("known", "base2", "lp2", "lat2")])
+    both = parts.filter("word IS NULL").join(tail.hint("merge"), "rid", "left")
+    plus = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
+    return both.select("kept.*", F.col("k").alias("n_tokens"), plus("n_known", "known").alias("n_known"), plus("base", "base2").alias("base_score"), plus("lp", "lp2").alias("score"), plus("lat", "lat2").alias("lattice_score"))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -341,4 +403,4 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 5 == 1).alias("held_out"))
     model = train(scratch, docs.select("text", (~F.col("held_out")).alias("learn")), "learn")
     scored = score(scratch, docs, model, ["doc_id", "held_out"])
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "lattice_score")
