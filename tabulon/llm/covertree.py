@@ -6,13 +6,21 @@ the radius of one, the node's own centre first. Two trees are walked together: a
 if their centres are farther apart than the threshold and both covering radii, accepted whole if even
 their farthest points are close, and split otherwise; what is left at the leaves is computed in doubles.
 
-A label's vectors are dealt into blocks of about `block`, and a task takes two blocks, so no task holds a
-label and a label's pairs spread over the cluster. Equal vectors are collapsed first and count by their
-number. A task returns counts and a spanning forest of its links, never the pairs.
+A label of more than `block` vectors is dealt by the top levels of such a tree: centres are the nodes of a
+cover tree of about SAMPLE of its vectors, every vector goes to its nearest centre, and a node's covering
+radius is the farthest of all its vectors, so it bounds them however the sample fell. Two nodes meet only if
+their centres are no farther apart than the threshold and both radii; only then are their vectors copied to
+each other, in blocks of about `block`. A task builds the trees of two blocks and walks them, so no task holds
+a label. Where vectors have no near neighbours at all and no clusters, as random ones of many dimensions, radii
+are too large to part nodes, and a label's work is the square of its blocks.
+
+Equal vectors are collapsed first and count by their number. A task returns counts and a spanning forest of
+its links, never the pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and those with a
 null label or id, link with nothing and keep their row; vectors of different lengths don't link; rows that
-share an id are one node of the links; an empty table gives no rows; other columns pass through.
+share an id are one node of the links; an empty table gives no rows; other columns pass through, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -22,9 +30,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import Scratch, components, joined, table
+from tabulon.llm.common import Scratch, components, fresh, joined, table
 
 LEAF = 24
+#: About so many vectors of a label give its centres.
+SAMPLE = 4096
+#: Vectors that a task holds against the centres.
+CHUNK = 16384
 #: What bounds on distances allow for rounding.
 SLACK = 1e-7
 
@@ -45,21 +57,47 @@ class Tree:
             if len(self.points[n]) <= LEAF or self.radius[n] == 0:
                 continue
             reach = min(reach, self.radius[n] * 1.000001) / 2
-            kids = []
-            rest, away = self.points[n], self.far(self.centre[n], self.points[n])
-            centre = self.centre[n]
-            while True:
-                near = away <= reach
-                near |= rest == centre
-                kids.append(self.node(centre, rest[near], away[near], reach))
-                rest = rest[~near]
-                if not len(rest):
-                    break
-                centre = int(rest[0])
-                away = self.far(centre, rest)
+            kids = self.split(self.centre[n], self.points[n], reach)
             self.children[n] = np.array([k for k, _ in kids])
             todo += kids
 
+    def split(self, centre: int, points: np.ndarray, reach: float) -> list[tuple[int, float]]:
+        """Nodes of the points: each belongs to the first centre within reach; a point that none covers is the next centre."""
+        kids = []
+        rest = np.concatenate([[centre], points[points != centre]])
+        while len(rest):
+            some = self.units[rest[:256]]
+            apart = distance(some @ some.T) <= reach
+            chosen, open_ = [], np.ones(len(some), bool)
+            for k in range(len(some)):
+                if open_[k]:
+                    chosen.append(k)
+                    open_ &= ~apart[k]
+                    open_[k] = False
+            away = distance(self.units[rest] @ some[chosen].T)
+            near = away <= reach
+            near[chosen, np.arange(len(chosen))] = True
+            taken, owner = near.any(1), near.argmax(1)
+            owner[chosen] = np.arange(len(chosen))  # a centre is its own
+            order = np.flatnonzero(taken)[np.argsort(owner[taken], kind="stable")]
+            edges = np.searchsorted(owner[order], np.arange(len(chosen) + 1))
+            for j, c in enumerate(rest[chosen].tolist()):
+                mine = order[edges[j] : edges[j + 1]]
+                kids.append(self.node(c, rest[mine], away[mine, j], reach))
+            rest = rest[~taken]
+        return kids
+
+    def top(self, most: int) -> list[int]:
+        """Centres of the upper levels: the widest node is split for as long as there are fewer than `most`."""
+        nodes = [0]
+        while len(nodes) < most:
+            wide = max((n for n in nodes if self.children[n] is not None), key=lambda n: self.radius[n], default=None)
+            if wide is None:
+                break
+            nodes.remove(wide)
+            nodes += self.children[wide].tolist()
+        return sorted({self.centre[n] for n in nodes})[: 4 * most]
+
     def far(self, centre: int, places: np.ndarray) -> np.ndarray:
         return distance(self.units[places] @ self.units[centre])
 
@@ -170,7 +208,7 @@ def block_links(ids: np.ndarray, vectors: np.ndarray, weights: np.ndarray, block
     """(id, links, root) of the vectors of two blocks that link across them, or of one within it."""
     order = np.lexsort((ids, block))
     ids, vectors, weights, block = ids[order], vectors[order], weights[order], block[order]
-    units = vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
+    units = unit_rows(vectors)
     links, cut = Links(weights), int(np.searchsorted(block, block[0], "right"))
     left = Tree(units[:cut])
     if cut == len(ids):
@@ -181,32 +219,104 @@ def block_links(ids: np.ndarray, vectors: np.ndarray, weights: np.ndarray, block
     return pd.DataFrame({"id": ids[some], "links": links.count[some], "root": ids[links.roots()[some]]})
 
 
-def near_vectors(scratch: Scratch, vectors: DataFrame, cosine: float = 0.93, block: int = 2048) -> DataFrame:
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    return vectors / np.sqrt((vectors * vectors).sum(1))[:, None]
+
+
+def dealt_by_nodes(scratch: Scratch, classes: DataFrame, sizes: DataFrame, cosine: float, block: int, nodes: int) -> tuple[DataFrame, DataFrame]:
+    """For labels of several blocks: (label, dim, cid, node), and (label, dim, node, first, blocks, partners: ranges of blocks).
+
+    The blocks of a node are first to first + blocks - 1 of its label's; partners are those of all nodes that may hold a link.
+    """
+    limit = float(np.sqrt(2 - 2 * cosine))
+    large = sizes.filter(F.col("n") > block)
+    own = classes.join(large, ["label", "dim"]).withColumn("h", F.xxhash64("v"))
+
+    def choose(group: pd.DataFrame) -> pd.DataFrame:
+        units = unit_rows(np.stack(group["v"].to_numpy()))
+        order = np.lexsort(units.T[::-1])
+        units = units[order]
+        centres = Tree(units).top(min(nodes, int(group["n"].iloc[0]) * 4 // block + 1))
+        return pd.DataFrame({"label": group["label"].iloc[0], "dim": group["dim"].iloc[0], "node": np.arange(len(centres)), "centre": list(units[centres])})
+
+    kinds = f"label {classes.schema['label'].dataType.simpleString()}, dim int, node int, centre array<double>"
+    sample = own.filter(F.pmod("h", F.col("n")) < SAMPLE).select("label", "dim", "n", "v")
+    found = sample.groupBy("label", "dim").applyInPandas(choose, kinds)
+    # a label whose sample came out empty is one node, whose centre is any vector
+    spare = own.join(found.select("label", "dim").distinct().hint("merge"), ["label", "dim"], "left_anti").groupBy("label", "dim").agg(F.min("v").alias("centre"))
+    found = scratch.save(found, "sampled")
+    centres = scratch.save(found.unionByName(spare.select("label", "dim", F.lit(0).alias("node"), "centre")), "centres")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    parted = own.select("label", "dim", F.pmod(F.xxhash64("cid"), chunks).cast("int").alias("chunk"), "cid", "v")
+    copies = centres.join(large, ["label", "dim"]).select("label", "dim", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "node", "centre")
+
+    def nearest(group: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return pd.DataFrame({"label": [], "dim": [], "cid": [], "node": [], "away": []})
+        points, middles = unit_rows(np.stack(group["v"].to_numpy())), unit_rows(np.stack(held["centre"].to_numpy()))
+        near = (points @ middles.T).argmax(1)
+        away = distance(np.einsum("ij,ij->i", points, middles[near]))
+        return pd.DataFrame({"label": group["label"].iloc[0], "dim": group["dim"].iloc[0], "cid": group["cid"], "node": held["node"].to_numpy()[near], "away": away})
+
+    key = ["label", "dim", "chunk"]
+    kinds = f"label {classes.schema['label'].dataType.simpleString()}, dim int, cid long, node int, away double"
+    placed = scratch.save(parted.groupBy(*key).cogroup(copies.groupBy(*key)).applyInPandas(nearest, kinds), "placed")
+    wide = placed.groupBy("label", "dim", "node").agg(F.max("away").alias("radius"), F.count("*").alias("n")).join(centres.hint("merge"), ["label", "dim", "node"])
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("node")
+        middles = unit_rows(np.stack(group["centre"].to_numpy()))
+        radius, blocks = group["radius"].to_numpy(), -(-group["n"].to_numpy() // block)
+        first = np.cumsum(blocks) - blocks
+        near = distance(middles @ middles.T) <= radius[:, None] + radius[None, :] + limit + SLACK
+        near |= near.T
+        np.fill_diagonal(near, True)
+        partners = [[{"first": int(first[k]), "blocks": int(blocks[k])} for k in np.flatnonzero(row)] for row in near]
+        return pd.DataFrame({"label": group["label"], "dim": group["dim"], "node": group["node"], "first": first, "blocks": blocks, "partners": partners})
+
+    kinds = f"label {classes.schema['label'].dataType.simpleString()}, dim int, node int, first int, blocks int, partners array<struct<first: int, blocks: int>>"
+    ranges = scratch.save(wide.groupBy("label", "dim").applyInPandas(meet, kinds), "nodes")
+    return placed, ranges
+
+
+def near_vectors(scratch: Scratch, vectors: DataFrame, cosine: float = 0.93, block: int = 8192, nodes: int = 256) -> DataFrame:
     """vectors (vec_id, embedding, label) with n_links, component_id and kept."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     sound = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = scratch.save(vectors.select(F.monotonically_increasing_id().alias("__row"), "*", F.coalesce(sound, F.lit(False)).alias("__sound")), "rows")
-    classes = rows.filter("__sound").groupBy("label", F.size("embedding").alias("dim"), v.alias("v")).agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
-    classes = scratch.save(classes, "classes")
-    sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    sizes = scratch.save(sizes, "sizes")
-    dealt = classes.join(sizes, ["label", "dim"]).withColumn("mine", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
+    is_sound, whole, own_label, own_class, weight, links, group = fresh(vectors, "sound", "v", "label", "class", "weight", "links", "group")
+    rows = vectors.withColumn(is_sound, F.coalesce(sound, F.lit(False)))
+    classes = rows.filter(is_sound).groupBy("label", F.size("embedding").alias("dim"), v.alias("v")).agg(F.min("vec_id").alias("id"), F.count("*").alias("weight"))
+    classes = scratch.save(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    sizes = scratch.save(classes.groupBy("label", "dim").agg(F.count("*").alias("n")), "sizes")
+    keyed = classes
+    if sizes.filter(F.col("n") > block).isEmpty():
+        dealt = keyed.withColumn("mine", F.lit(0)).withColumn("other", F.lit(0))
+    else:
+        placed, ranges = dealt_by_nodes(scratch, classes, sizes, cosine, block, nodes)
+        keyed = keyed.join(placed.select("cid", "node"), "cid", "left").join(ranges, ["label", "dim", "node"], "left")
+        keyed = keyed.withColumn("mine", F.coalesce(F.col("first") + F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"), F.lit(0)))
+        every = F.flatten(F.transform("partners", lambda p: F.sequence(p["first"], p["first"] + p["blocks"] - 1)))
+        dealt = keyed.withColumn("other", F.explode(F.coalesce(every, F.array(F.lit(0)))))
+    dealt = dealt.withColumn("low", F.least("mine", "other")).withColumn("high", F.greatest("mine", "other"))
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
+        if group["low"].iloc[0] != group["high"].iloc[0] and group["mine"].nunique() == 1:  # the other block is empty
+            return pd.DataFrame({"id": [], "links": [], "root": []})
         return block_links(group["id"].to_numpy(), np.stack(group["v"].to_numpy()), group["weight"].to_numpy(), group["mine"].to_numpy(), cosine)
 
     found = dealt.select("label", "dim", "low", "high", "id", "weight", "mine", "v").groupBy("label", "dim", "low", "high").applyInPandas(compare, "id long, links long, root long")
     found = scratch.save(found, "found")
     labels = components(scratch, found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    links = found.groupBy("id").agg(F.sum("links").alias("links")).join(labels, "id", "left").select("id", "links", F.coalesce("component", "id").alias("component"))
-    of_class = scratch.save(classes.join(links, "id", "left").select("label", "v", F.col("id").alias("class"), "weight", "links", "component"), "of_class")
-    keyed = rows.select("*", F.when(F.col("__sound"), v).alias("__v"))
-    out = keyed.join(of_class.withColumnRenamed("label", "__label"), (F.col("__v") == F.col("v")) & (F.col("label") == F.col("__label")), "left")
-    component = F.when(F.col("__sound"), F.coalesce("component", "class")).otherwise(F.col("vec_id"))
+    counted = found.groupBy("id").agg(F.sum("links").alias("links")).join(labels, "id", "left").select("id", "links", F.coalesce("component", "id").alias("component"))
+    of_class = classes.join(counted, "id", "left").select(F.col("label").alias(own_label), F.col("v").alias(whole), F.col("id").alias(own_class), F.col("weight").alias(weight), F.col("links").alias(links), F.col("component").alias(group))
+    of_class = scratch.save(of_class, "of_class")
     kept = [c for c in vectors.columns if c not in ("n_links", "component_id", "kept")]
-    out = out.withColumn("__n", (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).cast("long"))
-    return out.select(*kept, F.col("__n").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    good = rows.filter(is_sound).join(of_class.hint("merge"), (v == F.col(whole)) & (F.col("label") == F.col(own_label)), "left")
+    component, n = F.coalesce(group, own_class), F.coalesce(links, F.lit(0)) + F.col(weight) - 1
+    good = good.select(*kept, n.cast("long").alias("n_links"), component.alias("component_id"), (component == F.col("vec_id")).alias("kept"))
+    # rows that link with nothing don't take part in the join, whose null keys would meet in one task
+    rest = rows.filter(~F.col(is_sound)).select(*kept, F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    return good.unionByName(rest)
 
 
 def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:

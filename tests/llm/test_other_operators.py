@@ -52,12 +52,40 @@ def fold(events):
         elif kind == "regenerate":
             turns = [t for t in turns if t[0] < message]
         else:
-            hit = next((t for t in turns if t[0] == message and not t[3]), None)
-            if hit is None:
+            if kind == "edit":
+                turns = [t for t in turns if t[0] != message]
+            hit = next((t for t in reversed(turns) if t[0] == message), None)
+            if hit is None or hit[3]:
                 turns.append([message, role, text, False])
             else:
-                hit[2] = text if kind == "edit" else hit[2] + text
-    return [(t[1], t[2]) for t in turns]
+                hit[2] += text
+    return [(t[1], t[2]) for t in sorted(turns, key=lambda t: t[0])]
+
+
+def test_folding_of_random_logs(spark):
+    pick = np.random.default_rng(4)
+    kinds = ["message", "delta", "delta", "delta", "edit", "regenerate"]
+    logs = {c: [(k * 3, int(pick.integers(0, 6)), kinds[pick.integers(6)], "user", f"{k}<") for k in range(pick.integers(1, 60))] for c in range(60)}
+    rows = [(c, *e, "extra") for c, log in logs.items() for e in log]
+    frame = spark.createDataFrame(rows, "conv_id long, seq long, message long, kind string, role string, text string, alive string").repartition(7)
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.reconstruct(frame).collect()}
+    assert got == {c: fold(log) for c, log in logs.items()}
+
+
+def test_event_logs_fold_to_their_tables(spark):
+    long = "ab😀<" * 50_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long), (1, 1, "assistant", "tie"), (1, None, None, None), (1, 2, "system", ""), (1, 3, "user", ""), (1, 4, "assistant", None), (2, 5, "tool", "x\ny"), (2, 5, "tool", "x\ny"), (None, 0, "user", "n")]
+    said = spark.createDataFrame([(*r, "z") for r in rows], "conv_id long, turn long, role string, text string, message string")
+    log = chat.event_log(said)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    turns = chat.reconstruct(log)
+    wanted = {}
+    for c, _, role, text in sorted(rows, key=lambda r: (r[0] or 0, -1 if r[1] is None else r[1], r[2] or "", r[3] or "")):
+        wanted.setdefault(c, []).append((role or "", text or ""))
+    assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in turns.collect()} == wanted
+    back = chat.parse(chat.render(turns)).collect()
+    assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in back} == wanted
+    assert {r.conv_id: r.loss for r in back}[1] == long + "tie"
 
 
 def test_folding(spark):
@@ -91,7 +119,7 @@ def test_folding(spark):
 
 def test_chat_is_native(spark):
     frame = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
-    plan = chat.parse(chat.render(chat.reconstruct(chat.conversation_events(frame))))._jdf.queryExecution().toString()
+    plan = chat.parse(chat.render(chat.reconstruct(chat.event_log(frame))))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
 
 
@@ -127,11 +155,32 @@ def test_near_vectors(spark, block, cosine):
             rows.append((label * 1000 + k, [float(np.float32(x)) for x in v], label))
     rows += [(5000 + k, rows[k % 3][1], 0) for k in range(30)]
     rows += [(6000, None, 0), (6001, [], 0), (6002, [0.0] * 8, 0), (6003, [None] + [1.0] * 7, 0), (6004, [float("nan")] * 8, 0), (6005, [float("inf")] * 8, 0), (6006, rows[0][1], None), (6007, [1.0, 2.0], 0), (6008, [1.0, 2.0], 0)]
-    frame = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, label int, n_links int")
+    own = ["component", "weight", "links", "id", "v", "dim", "class", "low", "__v", "__row", "__sound", "__label"]
+    frame = spark.createDataFrame([(*r, 1, *own) for r in rows], "vec_id long, embedding array<float>, label int, n_links int, " + ", ".join(f"{c} string" for c in own))
     got = covertree.near_vectors(Scratch(spark, "test"), frame, cosine, block)
+    assert all(r[c] == c for r in got.collect() for c in own)
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect()} == brute_links(rows, cosine)
 
 
+def test_nodes_far_apart_never_meet(spark):
+    """Tight clusters on several blocks: their nodes' radii part them, so few block pairs are left."""
+    pick = np.random.default_rng(8)
+    centres = pick.normal(size=(16, 12))
+    v = np.repeat(centres, 40, 0) + pick.normal(size=(640, 12)) * 0.02
+    rows = [(k, x.tolist(), 0) for k, x in enumerate(v)] + [(k, v[k + 1].tolist(), 0) for k in range(3)]  # ids of two vectors
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    scratch = Scratch(spark, "test")
+    classes = frame.select("label", F.lit(12).alias("dim"), F.col("embedding").alias("v"), F.col("vec_id").alias("id"), F.lit(1).alias("weight"), F.monotonically_increasing_id().alias("cid"))
+    sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    placed, ranges = covertree.dealt_by_nodes(scratch, scratch.save(classes, "c"), sizes, 0.93, 40, 64)
+    assert placed.count() == len(rows)
+    nodes = ranges.collect()
+    assert sum(r.blocks for r in nodes) >= 16
+    assert sum(r.blocks * sum(p.blocks for p in r.partners) for r in nodes) < 0.3 * sum(r.blocks for r in nodes) ** 2
+    got = covertree.near_vectors(scratch, frame.filter("vec_id > 2"), block=40)
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got.collect()} == brute_links([r for r in rows if r[0] > 2], 0.93)
+
+
 def test_near_vectors_of_odd_tables(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert covertree.near_vectors(Scratch(spark, "test"), frame).collect() == []
