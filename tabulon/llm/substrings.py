@@ -1,17 +1,19 @@
 """Substring dedup: repeated passages found by a log-structured index of window fingerprints.
 
 A window is `width` consecutive words. A word is removed if a window over it also starts in a document
-with a smaller id. The index keeps, in sorted immutable runs (Parquet, by fingerprint), what the windows
-of all earlier documents look like; each new batch is merge-joined with the runs, its matches are verified
-by 128-bit hashes of whole word sequences, its new entries become a run, and runs are compacted into one
-when there are more than a few.
+with a smaller id. The index keeps, in sorted immutable runs (bucketed Parquet), what the windows of all
+earlier documents look like; each new batch is merge-joined with the runs, its matches are verified, its new
+entries become a run, and runs are compacted into one when there are more than a few.
 
 Not each window is stored. Of the `width - GRAM + 1` grams of GRAM words in a window the one with the least
 hash is its anchor, so equal windows have equal anchors, and neighbouring windows mostly share one. All
 windows of one anchor occurrence form a span: about one entry in 20 windows. A span whose whole word
 sequence occurs in a smaller document is removed at once. Where spans of one anchor differ (the ends of a
-copied passage, or a gram in several contexts), their single windows are compared: only the occurrences in
-the first document of each different span take part, so copies add nothing.
+copied passage, or a gram in several contexts), their single windows are made anew from the texts of their
+first documents, earlier ones too, and compared; copies add nothing.
+
+Verified means equal names of 128 bits of whole word sequences, made from the words' bytes or, of words of more
+than 15 bytes, from their BLAKE2b digests (see `words`), not by an algebra that chosen words could defeat.
 
 Batches must come in ascending order of ids. Defined cases: a null or empty text has no words; texts of
 fewer than `width` words lose nothing; rows with the same id count as one document for each other, and each
@@ -23,6 +25,8 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,39 +34,48 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import Scratch, table
-from tabulon.llm.words import Words, powers, slices
+from tabulon.llm.common import Scratch, fresh, table
+from tabulon.llm.words import Names, Words, followed, slices, windows
 
 #: Words in an anchor.
 GRAM = 10
 SPANS = "fp long, h1 long, h2 long, doc_id long, a int, b int"
 KEY = ["fp", "h1", "h2"]
+#: Entries of one anchor in a part of a run, so none is one task's alone.
+HOT = 100_000
+
 
+@contextmanager
+def sorted_buckets(spark: SparkSession) -> Iterator[None]:
+    """While plans are made here, a bucket of one sorted file counts as sorted."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
-def sequence_hash(words: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    from tabulon.llm.words import spans_hash
 
-    return spans_hash(words, starts, ends, which)
 
 
-def anchors(found: Words, width: int) -> tuple[np.ndarray, ...]:
-    """Spans of all texts: (text, first and last window start, anchor hash), starts counted over all texts."""
-    words, n = found.hashes(), len(found.starts)
+def anchors(words: Names, counts: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Spans of all texts: (text, first and last window start, anchor), starts counted over all texts."""
+    n = len(words[0])
     grams = n - GRAM + 1
-    if grams < width - GRAM + 1:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    at = np.arange(grams)
-    h = sequence_hash(words, at, at + GRAM, 0)
     per = width - GRAM + 1
-    # the place of the least hash in each run of `per` grams, the leftmost of equals, by doubling steps
-    best = at.copy()
+    if grams < per:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    h = windows(words, GRAM)[0]
+    # the place of the least gram in each run of `per` grams, the leftmost of equals, by doubling steps
+    best = np.arange(grams)
     reach = 1
     while reach < per:
         step = min(reach, per - reach)
         left, right = best[: len(best) - step], best[step:]
         best = np.where(h[right] < h[left], right, left)
         reach += step
-    text = np.repeat(np.arange(len(found.counts)), found.counts)
+    text = np.repeat(np.arange(len(counts)), counts)
     starts = np.flatnonzero(text[: n - width + 1] == text[width - 1 :])
     best, text = best[starts], text[starts]
     new = np.ones(len(starts), bool)
@@ -77,20 +90,24 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def spans_of(docs: DataFrame, width: int) -> DataFrame:
-    """SPANS of docs (doc_id, text): anchor, hashes of the span's whole word sequence, its windows' starts a to b."""
+    """SPANS of docs (doc_id, text): anchor, name of the span's whole word sequence, its windows' starts a to b.
+
+    The first and the last window cover a span, so their names and distance name it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 found = Words(batch.column(1))
-                text, a, b, fp = anchors(found, width)
-                h1 = sequence_hash(found.hashes(0), a, b + width, 0)
-                h2 = sequence_hash(found.hashes(1), a, b + width, 1)
+                words = found.names()
+                text, a, b, fp = anchors(words, found.counts, width)
+                x, y = windows(words, width)
+                h1, h2 = followed((x[a], y[a]), (x[b] + (b - a).astype(np.uint64), y[b]))
                 ids = batch.column(0).to_numpy(zero_copy_only=False)[text].astype(np.int64)
                 base = found.first[text]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(fp), signed(h1), signed(h2), ids, (a - base).astype(np.int32), (b - base).astype(np.int32))], names=SPANS.replace(" long", "").replace(" int", "").split(", "))
 
-    whole = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    whole = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return whole.mapInArrow(run, SPANS)
 
 
@@ -111,48 +128,67 @@ def windows_of(texts: DataFrame, width: int) -> DataFrame:
                 at, owner = np.concatenate(chosen), np.concatenate(owner)
                 inside = at + width <= found.first[owner + 1]  # ids that rows share may have spans of another text
                 at, owner = at[inside], owner[inside]
-                w1, w2 = (sequence_hash(found.hashes(k), at, at + width, k) for k in (0, 1))
+                x, y = windows(found.names(), width)
                 ids = batch.column(0).to_numpy(zero_copy_only=False)[owner].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(w1), signed(w2), ids, (at - found.first[owner]).astype(np.int32))], names=["w1", "w2", "doc_id", "start"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (signed(x[at]), signed(y[at]), ids, (at - found.first[owner]).astype(np.int32))], names=["w1", "w2", "doc_id", "start"])
 
     return texts.select("doc_id", "text", "spans").mapInArrow(run, "w1 long, w2 long, doc_id long, start int")
 
 
+@dataclass
+class Run:
+    """An immutable run: entries (KEY, doc_id, a, b, part), in buckets by (fp, part), each one file sorted by KEY.
+
+    hot: (fp, parts) of the anchors with more than HOT entries, which are dealt over parts by h1; others have part 0.
+    """
+
+    entries: DataFrame
+    hot: DataFrame
+    names: tuple[str, str]
+
+
 class FingerprintIndex:
-    """Runs of first occurrences of spans, (fp, h1, h2) -> (doc_id, a, b), each sorted by fp."""
+    """Runs of first occurrences of spans, (fp, h1, h2) -> (doc_id, a, b).
 
-    def __init__(self, scratch: Scratch, width: int = 50, most_runs: int = 4):
+    A batch is merge-joined with each run where it lies: the batch's anchors go to the runs' buckets, the
+    runs are neither shuffled nor sorted again. When there are more than `most_runs`, they become one.
+    """
+
+    def __init__(self, scratch: Scratch, width: int = 50, most_runs: int = 2, buckets: int | None = None):
         self.scratch, self.width, self.most_runs = scratch, width, most_runs
-        self.runs: list[DataFrame] = []
+        self.buckets = buckets or int(scratch.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.runs: list[Run] = []
         self.n = 0
 
     def _save(self, frame: DataFrame, name: str) -> DataFrame:
         return self.scratch.save(frame, f"{name}-{self.n}")
 
-    def history(self) -> DataFrame | None:
+    def met(self, anchors: DataFrame) -> DataFrame | None:
+        """(KEY, doc_id, a, b) of all runs' entries at the batch's distinct anchors (fp)."""
         out = None
-        for r in self.runs:
-            out = r if out is None else out.union(r)
+        for run in self.runs:
+            asked = anchors.select("fp").join(run.hot.hint("broadcast"), "fp", "left") if run.hot is not None else anchors.select("fp", F.lit(1).alias("parts"))
+            asked = asked.select("fp", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+            found = run.entries.join(asked.hint("merge"), ["fp", "part"]).select(*KEY, "doc_id", "a", "b")
+            out = found if out is None else out.union(found)
         return out
 
     def ingest(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
         """Removed window starts (doc_id, a, b) of a batch; corpus (doc_id, text) holds the batch and all before it."""
         self.n += 1
-        past = self.history()
         spans = self._save(spans_of(docs, self.width), "spans")
-        # anchors that occur in two documents, of which at least one is of this batch
-        ends = spans.groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-        if past is not None:
-            old = past.select("fp", F.col("doc_id").alias("low"), F.col("doc_id").alias("high"))
-            ends = ends.withColumn("new", F.lit(True)).unionByName(old.withColumn("new", F.lit(False))).groupBy("fp")
-            ends = ends.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("new").alias("new")).filter("new")
-        shared = self._save(ends.filter("low < high").select("fp"), "shared")
+        anchors = self._save(spans.groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "anchors")
+        with sorted_buckets(self.scratch.spark):
+            known = self.met(anchors)
+            known = known if known is None else self._save(known, "known")
+        # anchors that occur in two documents
+        shared = anchors.filter("low < high").select("fp")
+        if known is not None:
+            shared = shared.union(known.select("fp")).distinct()
+        shared = self._save(shared, "shared")
         met = self._save(spans.join(shared.hint("merge"), "fp"), "met")
-        firsts = met.groupBy(*KEY).agg(F.min(F.struct("doc_id", "a", "b")).alias("at")).select(*KEY, "at.*")
-        known = None
-        if past is not None:
-            known = self._save(past.join(shared.hint("merge"), "fp").select(*KEY, "doc_id", "a", "b"), "known")
-            firsts = firsts.unionByName(known).groupBy(*KEY).agg(F.min(F.struct("doc_id", "a", "b")).alias("at")).select(*KEY, "at.*")
+        firsts = met.select(*KEY, "doc_id", "a", "b")
+        firsts = (firsts if known is None else firsts.unionByName(known)).groupBy(*KEY).agg(F.min(F.struct("doc_id", "a", "b")).alias("at")).select(*KEY, "at.*")
         firsts = self._save(firsts, "firsts")
         owner = firsts.select(*KEY, F.col("doc_id").alias("owner"))
         covered = met.join(owner.hint("merge"), KEY).filter("owner < doc_id").select("doc_id", "a", "b")
@@ -164,37 +200,49 @@ class FingerprintIndex:
             # a span that its first document repeats isn't covered there, so all its places take part
             repeats = met.join(mixed.select(*KEY, "doc_id").hint("merge"), [*KEY, "doc_id"])
             each = mixed.select("doc_id", "a", "b").union(repeats.select("doc_id", "a", "b")).groupBy("doc_id").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-            texts = corpus.filter("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(each, "doc_id")
-            windows = self._save(windows_of(texts, self.width), "windows")
-            first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).filter("owner < other").select("w1", "w2", "owner")
+            texts = corpus.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(each, "doc_id")
+            found = self._save(windows_of(texts, self.width), "windows")
+            first = found.groupBy("w1", "w2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).filter("owner < other").select("w1", "w2", "owner")
             first = self._save(first, "repeated")
-            again = windows.join(first.hint("merge"), ["w1", "w2"]).filter("owner < doc_id")
-            batch = docs.select("doc_id").distinct() if past is not None else None
+            again = found.join(first.hint("merge"), ["w1", "w2"]).filter("owner < doc_id")
+            batch = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct() if known is not None else None
             again = again.select("doc_id", F.col("start").alias("a"), F.col("start").alias("b"))
             out = out.union(again if batch is None else again.join(batch, "doc_id", "left_semi"))
         removed = self._save(out, "removed")
-        self.runs.append(self._run(spans, past))
+        # the batch's first occurrences that the history lacks
+        new = spans.groupBy(*KEY).agg(F.min(F.struct("doc_id", "a", "b")).alias("at")).select(*KEY, "at.*")
+        if known is not None:
+            new = new.join(known.select(*KEY).hint("merge"), KEY, "left_anti")
+        self.runs.append(self._run(self._save(new, "new")))
         if len(self.runs) > self.most_runs:
             self.compact()
-        for name in ("spans", "shared", "met", "known", "firsts", "several", "mixed", "windows", "repeated"):
+        for name in ("spans", "anchors", "known", "shared", "met", "firsts", "several", "mixed", "windows", "repeated", "new"):
             self.scratch.drop(f"{name}-{self.n}")
         return removed
 
-    def _run(self, spans: DataFrame, past: DataFrame | None) -> DataFrame:
-        """The batch's first occurrences that the history lacks, as a sorted run."""
-        new = spans.groupBy(*KEY).agg(F.min(F.struct("doc_id", "a", "b")).alias("at")).select(*KEY, "at.*")
-        if past is not None:
-            new = new.join(past.select(*KEY).hint("merge"), KEY, "left_anti")
-        return self._save(new.sortWithinPartitions(*KEY), "run")
+    def _run(self, new: DataFrame) -> Run:
+        hot = self._save(new.groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("fp", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "hot")
+        some = not hot.isEmpty()
+        parts = F.coalesce("parts", F.lit(1)) if some else F.lit(1)
+        dealt = new.join(hot, "fp", "left") if some else new
+        dealt = dealt.select(*KEY, "doc_id", "a", "b", F.pmod("h1", parts).cast("int").alias("part"))
+        entries = self.scratch.save_buckets(dealt, f"run-{self.n}", ["fp", "part"], ["fp", "part", "h1", "h2"], self.buckets)
+        return Run(entries, hot if some else None, (f"run-{self.n}", f"hot-{self.n}"))
 
     def compact(self) -> None:
-        """Merges all runs into one, with the smallest document of each entry."""
+        """Makes one run of all; no two have the same key."""
+        old, every = self.runs, None
+        for r in old:
+            part = r.entries.drop("part")
+            every = part if every is None else every.union(part)
         self.n += 1
-        every = self.history().groupBy(*KEY).agg(F.min(F.struct("doc_id", "a", "b")).alias("at")).select(*KEY, "at.*")
-        self.runs = [self._save(every.sortWithinPartitions(*KEY), "run")]
+        self.runs = [self._run(every)]
+        for r in old:
+            for name in r.names:
+                self.scratch.drop(name)
 
 
-def dedup(scratch: Scratch, docs: DataFrame, batches: int = 2, width: int = 50) -> DataFrame:
+def dedup(scratch: Scratch, docs: DataFrame, batches: int = 4, width: int = 50) -> DataFrame:
     """(doc_id, a, b): removed window starts of all docs (doc_id, text), taken in `batches` ranges of ids."""
     index, out = FingerprintIndex(scratch, width), None
     ids = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
@@ -211,8 +259,9 @@ def kept_text(docs: DataFrame, removed: DataFrame, width: int = 50, digests: boo
     """docs with n_words, n_removed and kept (the kept words, joined by spaces; with digests its SHA-256 in place of text)."""
     name = "kept_sha256" if digests else "kept"
     keep = [c for c in docs.columns if c not in ("n_words", "n_removed", name) and not (digests and c == "text")]
-    spans = removed.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("__spans")).withColumnRenamed("doc_id", "__id")
-    source = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text")).join(spans, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    whole, own, key = fresh(docs, "whole", "spans", "key")
+    spans = removed.groupBy(F.col("doc_id").alias(key)).agg(F.collect_list(F.struct("a", "b")).alias(own))
+    source = docs.select(*keep, F.coalesce("text", F.lit("")).alias(whole)).join(spans, F.col("doc_id") == F.col(key), "left").drop(key)
     schema = T.StructType([*source.schema.fields[:-2], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(name, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,13 @@
-"""Words and rolling hashes of whole Arrow batches at once, in numpy.
+"""Words of whole Arrow batches at once, and names of 128 bits for them and their sequences, in numpy.
 
-A text is split at single bytes (every separator is ASCII), so UTF-8 needs no decoding. Hashes of
-words and of word sequences are differences of one running sum, so a window of any length costs the same.
+A text is split at single bytes (every separator is ASCII), so UTF-8 needs no decoding. Windows of any length
+are named by doubling, in as many steps as the length has bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -19,21 +20,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 LOWER_BYTES = LOWER.tobytes()
 
-_BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
-_POWERS: dict[tuple[int, bool], np.ndarray] = {}
-
-
-def powers(which: int, n: int, inverse: bool = False) -> np.ndarray:
-    """1, B, B^2, ... modulo 2^64 (or of the inverse of B), kept for the next call."""
-    have = _POWERS.get((which, inverse))
-    if have is None or len(have) < n:
-        base = pow(_BASES[which], -1, 1 << 64) if inverse else _BASES[which]
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        have = _POWERS[which, inverse] = np.multiply.accumulate(steps)
-    return have[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64 bits over each other (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -43,16 +29,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTES = [mix(np.arange(1 + 256 * k, 257 + 256 * k, dtype=np.uint64)) for k in range(2)]
+#: A number for each of some things, of 128 bits in two parts.
+Names = tuple[np.ndarray, np.ndarray]
+#: Words up to so many bytes are their own names.
+WHOLE = 15
+_LOW, _HIGH = (np.array([(1 << 8 * min(max(n - k, 0), 8)) - 1 for n in range(WHOLE + 1)], np.uint64) for k in (0, 8))
+_TOP = np.uint64(56)
 
 
-def spans_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int) -> np.ndarray:
-    """A hash of values[start:end] for each pair, by one running sum of values * B^i."""
-    total = np.empty(len(values) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(values * powers(which, len(values)), out=total[1:])
-    out = (total[ends] - total[starts]) * powers(which, len(values) + 1, inverse=True)[starts]
-    return mix(out + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+def followed(a: Names, b: Names) -> Names:
+    """Names of sequences whose first parts are named a and second parts b; no algebra relates them to their parts'."""
+    x = mix(a[0] * np.uint64(0x9E3779B97F4A7C15) + b[0])
+    y = mix((a[1] * np.uint64(0xD6E8FEB86659FD93) + b[1]) ^ x)
+    return x, y
+
+
+def windows(names: Names, width: int) -> Names:
+    """Names of all runs of `width` neighbours, by runs of doubled length of which the last two may overlap."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        n = max(len(names[0]) - step, 0)
+        names = followed((names[0][:n], names[1][:n]), (names[0][step:], names[1][step:]))
+        have += step
+    return names
 
 
 class Words:
@@ -79,11 +79,25 @@ class Words:
         self.first = np.searchsorted(self.starts, self.offsets)
         self.counts = np.diff(self.first)
 
-    def hashes(self, which: int = 0) -> np.ndarray:
-        return spans_hash(_BYTES[which][self.buf], self.starts, self.ends, which)
-
-
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    def names(self) -> Names:
+        """A word of up to WHOLE bytes is its own name, with its length; a longer one's is 120 bits of its BLAKE2b digest.
+
+        Different short words never have one name. The names are spread by a bijection.
+        """
+        size = self.ends - self.starts
+        padded = np.concatenate([self.buf, np.zeros(16, np.uint8)])
+        rows = np.lib.stride_tricks.sliding_window_view(padded, 16)[self.starts].view("<u8")
+        short = np.minimum(size, WHOLE)
+        low, high = rows[:, 0] & _LOW[short], rows[:, 1] & _HIGH[short] | short.astype(np.uint64) << _TOP
+        for k in np.flatnonzero(size > WHOLE).tolist():
+            got = blake2b(self.buf[self.starts[k] : self.ends[k]], digest_size=16).digest()
+            low[k], high[k] = int.from_bytes(got[:8], "little"), int.from_bytes(got[8:15], "little") | 0xFF << 56
+        x = mix(low ^ np.uint64(0xA0761D6478BD642F))
+        y = mix(high + x)
+        return mix(x + y), y
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about so many bytes of text, which bounds the memory of numpy's arrays."""
     texts = batch.column(column)
     wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
