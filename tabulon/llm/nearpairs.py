@@ -2,12 +2,14 @@
 
 A document's set is its distinct shingles of `width` words (A-Z lower-cased, words `[^\\x20\\x09-\\x0D]+`);
 fewer words make one shingle. Its signature has min-hashes of 16 bits, laid out by the threshold: at 0.85
-60 are indexed, in which two sets of that similarity differ in more than 23 places with a probability of
-about 2e-6, less if they are more alike. By the pigeonhole principle two signatures that differ in at most
-23 places have, of 12 chunks of 5 symbols, one that differs in at most 1; each chunk is entered once for
-each place that may be wrong, so all pairs within that distance meet under some key. A pair is taken only in
-the first bucket that it shares. All 120 min-hashes turn away pairs that differ in more than 41 of them.
-`layout` gives these numbers for any threshold. Links are confirmed on full sets.
+60 in 12 chunks of 5. By the pigeonhole principle two signatures that differ in at most 23 places have a chunk
+that differs in at most 1; each chunk is entered once for each place that may be wrong, so all pairs within
+that distance meet under some key, and nothing turns one away but its full sets (or their sizes). A pair is
+taken only in the first bucket that it shares. Two sets of similarity exactly 0.85 are farther apart than that
+with a probability of about 2e-6, more similar ones with far less. `layout` gives these numbers for any threshold.
+
+Sets hold names of 128 bits of the shingles, made from the words' bytes or BLAKE2b digests (see `words`); sets are
+equal if 128 bits of all of them and their sizes are, and links are confirmed on full sets.
 
 Rows follow the number of documents, not of pairs in a group. Equal sets are one class. Each class is first
 confirmed against the smallest member of the buckets it mostly shares, which joins a group of copies to its
@@ -32,13 +34,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import Scratch, components, joined, table
-from tabulon.llm.words import Words, mix, slices, spans_hash
+from tabulon.llm.common import Scratch, components, fresh, joined, table
+from tabulon.llm.words import Names, Words, mix, slices, windows
 
-#: Min-hashes in a signature, and how many of them are indexed at most.
-HASHES, KEYS = 120, 60
-#: Probabilities that a pair just at the threshold is missed by the index, and by all min-hashes.
-MISS, FAR_MISS = 2.5e-6, 5e-8
+#: Min-hashes in a signature; a layout indexes some or all of them.
+HASHES = 60
+#: Probability that the signatures of a pair just at the threshold are farther apart than the index guarantees.
+MISS = 2.5e-6
 
 
 def farthest(n: int, percent: int, miss: float) -> int:
@@ -52,40 +54,73 @@ def farthest(n: int, percent: int, miss: float) -> int:
 
 
 @lru_cache
-def layout(percent: int) -> tuple[int, int, int, int]:
-    """Chunks, symbols in each, in how many of them all a pair may differ, and in how many of HASHES.
+def layout(percent: int) -> tuple[int, int, int]:
+    """Chunks, symbols in each, and in how many of them all a pair may differ.
 
     The longest chunks, and of these the fewest, of which one still differs in at most 1 symbol.
     """
     for symbols in (5, 4, 3, 2):
-        for chunks in range(1, KEYS // symbols + 1):
+        for chunks in range(1, HASHES // symbols + 1):
             distance = farthest(chunks * symbols, percent, MISS)
             if distance < 2 * chunks:
-                return chunks, symbols, distance, farthest(HASHES, percent, FAR_MISS)
-    raise ValueError(f"no layout of {KEYS} min-hashes finds pairs of similarity {percent} %")
+                return chunks, symbols, distance
+    raise ValueError(f"no layout of {HASHES} min-hashes finds pairs of similarity {percent} %")
 
 
-CHUNKS, SYMBOLS, DISTANCE, FAR = layout(85)
+CHUNKS, SYMBOLS, DISTANCE = layout(85)
 INDEXED = CHUNKS * SYMBOLS
 _FACTORS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 #: Up to so many ids are sent to the texts rather than the texts to the ids.
 BROADCAST_IDS = 1_000_000
+#: Members of a hub that one task confirms.
+MEMBERS = 2048
 
 
-def shingles(found: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all texts' shingles, repeats included, and where each text's begin."""
-    words, n = found.hashes(), len(found.starts)
+def shingles(found: Words, width: int) -> tuple[Names, np.ndarray]:
+    """Names of all texts' shingles, repeats included, and where each text's begin."""
+    words = found.names()
     count = np.where(found.counts >= width, found.counts - width + 1, np.minimum(found.counts, 1))
     first = np.concatenate([[0], np.cumsum(count)])
-    text = np.repeat(np.arange(len(count)), count)
-    starts = np.arange(first[-1]) - first[text] + found.first[text]
-    ends = np.minimum(starts + width, found.first[text + 1])
-    return (spans_hash(words, starts, ends, 0) if n else np.zeros(0, np.uint64)), first
+    out = np.zeros((2, first[-1]), np.uint64)
+    for k in range(1, width + 1):  # texts of fewer words are one shingle
+        some = np.flatnonzero(found.counts >= width if k == width else found.counts == k)
+        if len(some):
+            many = count[some]
+            within = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            at, to = np.repeat(found.first[some], many) + within, np.repeat(first[some], many) + within
+            for lane, named in zip(out, windows(words, k), strict=True):
+                lane[to] = named[at]
+    return (out[0], out[1]), first
+
+
+def distinct(names: Names, first: np.ndarray, k: int) -> Names:
+    """The set of text k's shingles, in order."""
+    x, y = (lane[first[k] : first[k + 1]] for lane in names)
+    order = ordered(x, y)
+    x, y = x[order], y[order]
+    new = np.ones(len(x), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return x[new], y[new]
+
 
+def ordered(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The order by x, then y; y is looked at only where it has to be."""
+    order = np.argsort(x, kind="stable")
+    same = x[order[1:]] == x[order[:-1]]
+    return np.lexsort((y, x)) if (same & (y[order[1:]] != y[order[:-1]])).any() else order
 
-def distinct(h: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
-    part = np.sort(h[first[k] : first[k + 1]])
-    return part[np.concatenate([[True], part[1:] != part[:-1]])] if len(part) else part
+
+def in_common(a: Names, b: Names) -> int:
+    """The size of two sets' intersection."""
+    x, y = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
+    order = ordered(x, y)
+    x, y = x[order], y[order]
+    return int(((x[1:] == x[:-1]) & (y[1:] == y[:-1])).sum())
+
+
+def alike(a: Names, b: Names, percent: int) -> bool:
+    common = in_common(a, b)
+    return common > 0 and 100 * common >= percent * (len(a[0]) + len(b[0]) - common)
 
 
 def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -99,31 +134,30 @@ def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def sets_of(docs: DataFrame, width: int) -> DataFrame:
-    """docs without text, with n_shingles, s1 and s2 (hashes of the set) and sig (binary)."""
-    keep = [c for c in docs.columns if c not in ("text", "n_shingles", "s1", "s2", "sig")]
+def sets_of(docs: DataFrame, width: int, own: list[str]) -> DataFrame:
+    """docs without text, with n_shingles and, by the names `own`, two hashes of the set and its signature (binary)."""
+    keep = [c for c in docs.columns if c not in ("text", "n_shingles", "component_id", "kept")]
     source = docs.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                h, first = shingles(Words(batch.column(len(keep)), lower=True), width)
+                names, first = shingles(Words(batch.column(len(keep)), lower=True), width)
                 n = batch.num_rows
                 size, s = np.zeros(n, np.int64), np.zeros((2, n), np.uint64)
                 for k in range(n):
-                    own = distinct(h, first, k)
-                    size[k], s[0, k] = len(own), own.sum(dtype=np.uint64)
-                    s[1, k] = mix(own).sum(dtype=np.uint64)
-                sig = pa.array([r.tobytes() for r in signatures(h, first)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(size), pa.array(mix(s[0]).view(np.int64)), pa.array(s[1].view(np.int64)), sig], names=[*keep, "n_shingles", "s1", "s2", "sig"])
+                    x, y = distinct(names, first, k)
+                    size[k], s[0, k], s[1, k] = len(x), x.sum(dtype=np.uint64), mix(y).sum(dtype=np.uint64)
+                sig = pa.array([r.tobytes() for r in signatures(names[0], first)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(size), pa.array(mix(s[0]).view(np.int64)), pa.array(s[1].view(np.int64)), sig], names=[*keep, "n_shingles", *own])
 
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("n_shingles", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("sig", T.BinaryType())])
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("n_shingles", T.LongType()), T.StructField(own[0], T.LongType()), T.StructField(own[1], T.LongType()), T.StructField(own[2], T.BinaryType())])
     return source.mapInArrow(run, schema)
 
 
 def keys_of(classes: DataFrame, percent: int = 85) -> DataFrame:
     """(key, slot, id): each chunk of a signature with each one of its symbols left out, which slot numbers."""
-    chunks, symbols, _, _ = layout(percent)
+    chunks, symbols, _ = layout(percent)
     indexed = chunks * symbols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,8 +187,12 @@ def confirmed(scratch: Scratch, pairs: DataFrame, docs: DataFrame, width: int, p
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id")
     texts = scratch.save(texts, f"{name}-texts")
-    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b")
-    both = one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text")).hint("merge"), "a").select("a", "b", "text", "text_b")
+    # a hub of many members is sent to as many parts of them
+    parts = scratch.save(pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")), f"{name}-parts")
+    left = texts.withColumnRenamed("doc_id", "a").join(parts.hint("merge"), "a").select("a", "text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    one = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b").join(parts.hint("merge"), "a")
+    one = one.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts")
+    both = one.join(left.hint("merge"), ["a", "part"]).select("a", "b", "text", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, kept = None, None
@@ -171,8 +209,7 @@ def confirmed(scratch: Scratch, pairs: DataFrame, docs: DataFrame, width: int, p
                         h, f = shingles(Words(pa.array([text]), lower=True), width)
                         last, kept = text, distinct(h, f, 0)
                     other = distinct(h2, f2, k)
-                    common = len(np.intersect1d(kept, other, assume_unique=True))
-                    ok[k] = common > 0 and 100 * common >= percent * (len(kept) + len(other) - common)
+                    ok[k] = alike(kept, other, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
     out = scratch.save(both.mapInArrow(run, "a long, b long").distinct(), name)
@@ -220,8 +257,8 @@ def near_pairs(batch: pa.RecordBatch, percent: int, homes: bool) -> Iterator[tup
     homes: only in the first bucket that a pair shares.
     """
     i, j, slot, mine, _, component, size = (batch.column(k).to_numpy() for k in range(1, 8))
-    sig = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint16).reshape(-1, HASHES)
-    chunks, symbols, distance, far = layout(percent)
+    chunks, symbols, distance = layout(percent)
+    sig = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint16).reshape(-1, HASHES)[:, : chunks * symbols]
     first = groups_of(batch)
     ends = np.repeat(np.append(first[1:], len(i)), np.diff(np.append(first, len(i))))
     count = ends - np.arange(len(i)) - 1
@@ -234,12 +271,11 @@ def near_pairs(batch: pa.RecordBatch, percent: int, homes: bool) -> Iterator[tup
         ok = (component[a] != component[b]) & ((i[a] == j[a]) | (mine[a] != mine[b]))
         ok &= 100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])
         a, b = a[ok], b[ok]
-        differ = sig[a] != sig[b]
-        near = differ.sum(1) <= far
-        a, b, differ = a[near], b[near], differ[near]
-        indexed = differ[:, : chunks * symbols].reshape(-1, chunks, symbols)
+        indexed = (sig[a] != sig[b]).reshape(-1, chunks, symbols)
+        near = indexed.sum((1, 2)) <= distance
+        a, b, indexed = a[near], b[near], indexed[near]
         errors = indexed.sum(2)
-        ok = errors.sum(1) <= distance
+        ok = np.ones(len(a), bool)
         if homes and len(a):
             chunk = (errors <= 1).argmax(1)
             ok &= chunk * symbols + indexed[np.arange(len(a)), chunk].argmax(1) == slot[a]
@@ -285,8 +321,7 @@ def links_in(batches: Iterator[pa.RecordBatch], width: int, percent: int) -> Ite
                     p, q = root(component[x]), root(component[y])
                     if p == q:
                         continue
-                    common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                    if 100 * common >= percent * (len(sets[x]) + len(sets[y]) - common):
+                    if alike(sets[x], sets[y], percent):
                         parent[max(p, q)] = min(p, q)
                         found.append((ids[x], ids[y]))
             if found:
@@ -305,8 +340,10 @@ def blocked(rows: DataFrame, group: str) -> DataFrame:
 def near_groups(scratch: Scratch, docs: DataFrame, width: int = 3, percent: int = 85, block: int = 2048, text_block: int = 256) -> DataFrame:
     """docs without text, with n_shingles, component_id and kept."""
     keep = [c for c in docs.columns if c not in ("text", "n_shingles", "component_id", "kept")]
-    sets = scratch.save(sets_of(docs, width), "sets")
-    classes = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
+    own = fresh(docs, "s1", "s2", "sig")
+    sets = scratch.save(sets_of(docs, width, own), "sets")
+    shown = sets.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "n_shingles", *[F.col(a).alias(b) for a, b in zip(own, ("s1", "s2", "sig"), strict=True)])
+    classes = shown.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"))
     classes = scratch.save(classes, "classes")
     buckets = keys_of(classes, percent).groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub < top").select("key", "hub")
     buckets = scratch.save(buckets, "buckets")
@@ -342,9 +379,10 @@ def near_groups(scratch: Scratch, docs: DataFrame, width: int = 3, percent: int
     # rows that share an id are one node, so the smallest component of its classes is the id's
     named = classes.select("s1", "s2", F.col("n_shingles").alias("n"), "id").join(labels, "id", "left")
     named = scratch.save(named.select("s1", "s2", "n", F.coalesce("component", "id").alias("component")), "named")
-    out = sets.withColumnRenamed("s1", "__s1").withColumnRenamed("s2", "__s2")
-    out = out.join(named.hint("merge"), (F.col("__s1") == F.col("s1")) & (F.col("__s2") == F.col("s2")) & (F.col("n_shingles") == F.col("n")), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    s1, s2, n, group = fresh(docs, "a", "b", "n", "group")
+    named = named.select(F.col("s1").alias(s1), F.col("s2").alias(s2), F.col("n").alias(n), F.col("component").alias(group))
+    out = sets.join(named.hint("merge"), (F.col(own[0]) == F.col(s1)) & (F.col(own[1]) == F.col(s2)) & (F.col("n_shingles") == F.col(n)), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(group, "doc_id"))
     return out.select(*keep, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
