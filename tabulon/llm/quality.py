@@ -1,16 +1,17 @@
 """Quality classifier: naive Bayes support vectors over n-gram indicators.
 
-A document's features are the distinct n-grams it has: runs of 1 to 3 characters over whole texts, and
+A document's features are the distinct n-grams it has: runs of 1 to 3 bytes of UTF-8 over whole texts, and
 single words and pairs, each hashed to one of 2^18 places. Indicators are scaled by the log-count ratio
 of the classes (naive Bayes), scaled to unit length, and a linear hinge-loss model is fitted by dual
 coordinate descent. A logistic curve fitted to margins of held-back training rows gives scores from 0 to 1.
 
-Only labelled rows train, at most `most` of them (those with the smallest hash of their id), since the fit
-runs on the driver: what it gets is bounded by `most` rows of distinct features. Scoring is one pass over
+Only labelled rows train, at most `most` of them, since the fit runs on the driver: `most` labels (those with the
+smallest hash of their id), and if their ids have more texts than that, the `most` texts with the smallest hash.
+What the driver gets is bounded by `most` rows of distinct features. Scoring is one pass over
 whole texts with two vectors of fixed size.
 
 Defined cases: a null or empty text has no features and scores by the bias alone; rows without a label or
-with a null id don't train; equal ids train with each of their texts; without rows of both classes every
+with a null id don't train; equal ids train with each of their different texts; without rows of both classes every
 score is the share of good labels, or 0.5; repeated rows are scored each; other columns pass through.
 """
 
@@ -34,7 +35,7 @@ THRESHOLD = 0.7
 def features(texts: pa.Array) -> Iterator[np.ndarray]:
     """Sorted distinct feature numbers of each text."""
     found = Words(texts)
-    h = found.hashes()
+    h = found.names()[0]
     raw = found.buf.astype(np.uint64)
     top = np.uint64(64 - BITS)
     single = (mix(h ^ np.uint64(0x51)) >> top).astype(np.int32)
@@ -152,9 +153,15 @@ def train(docs: DataFrame, labels: DataFrame, learn, most: int = 6000) -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], names=["doc_id", "quality", "row"])
 
     # the chosen labels are at most `most` rows, so they are sent to the texts
-    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = held.select("doc_id", "text", F.col("quality").cast("int").alias("quality")).mapInArrow(extract, "doc_id long, quality int, row binary").toArrow().to_pylist()
-    found = sorted(found, key=lambda r: (r["doc_id"], r["quality"], r["row"]))[: 2 * most]
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    held = own.join(F.broadcast(chosen.select("doc_id", F.col("quality").cast("int").alias("quality"))), "doc_id")
+    if docs.select("doc_id").join(F.broadcast(chosen), "doc_id").limit(most + 1).count() > most:  # ids or labels that repeat
+        keys = ["doc_id", "quality", F.xxhash64("doc_id", "text").alias("pick")]
+        texts = held.groupBy(*keys).agg(F.min("text").alias("text"))
+        picked = held.select(*keys).distinct().orderBy("pick", "doc_id", "quality").limit(most)
+        held = texts.join(F.broadcast(picked), ["doc_id", "quality", "pick"])
+    found = held.select("doc_id", "text", "quality").mapInArrow(extract, "doc_id long, quality int, row binary").toArrow().to_pylist()
+    found = sorted(found, key=lambda r: (r["doc_id"], r["quality"], r["row"]))
     return Model([np.frombuffer(r["row"], np.int32) for r in found], np.array([r["quality"] == 1 for r in found], bool))
 
 

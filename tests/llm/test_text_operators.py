@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import pyarrow as pa
@@ -12,9 +13,12 @@ import pytest
 
 from tabulon.llm import decontaminate, lattice, nearpairs, pieces, quality, secrets, substrings
 from tabulon.llm.common import Scratch, components
-from tabulon.llm.words import Words
+from tabulon.llm.words import Words, windows
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words of 1,024 letters that meet in every rolling hash modulo 2^64.
+THUE = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+ANTI = THUE.translate(str.maketrans("ab", "ba"))
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -38,6 +42,7 @@ def made_docs(seed=1, n=60):
             words = words_of(docs[-1][1])
             words[pick.randrange(len(words))] = "changed"
         docs.append((i * 3, " ".join(words).capitalize().replace(" t", "\n\tt", 2)))
+    docs += [(990, f"{THUE} x y"), (991, f"{ANTI} x y"), (992, " ".join([*["w"] * 30, THUE, *["v"] * 30])), (993, " ".join([*["w"] * 30, ANTI, *["v"] * 30]))]
     docs += [(1000, docs[0][1]), (1001, None), (1002, ""), (1003, " \n\t "), (1004, "one"), (1005, "one two"), (1006, "one two"), (1007, " ".join(say(5000)))]
     return docs
 
@@ -47,8 +52,15 @@ def test_words():
     got = [bytes(found.buf[a:b]).decode() for a, b in zip(found.starts, found.ends, strict=True)]
     assert got == ["a", "bc", "d", "é x", "y"]
     assert found.counts.tolist() == [3, 0, 0, 1, 1]
-    h = Words(pa.array(["ab", "ab ab", "ba"])).hashes()
-    assert h[0] == h[1] == h[2] != h[3]
+    said = ["ab", "ab ab", "ba", "a\x00", "a", "x" * 15, "x" * 16, "x" * 17, "x" * 16, THUE, ANTI]
+    x, y = Words(pa.array(said)).names()
+    names = list(zip(x.tolist(), y.tolist(), strict=True))
+    assert names[0] == names[1] == names[2] and names[7] == names[9]
+    assert len(set(names)) == len({w for t in said for w in t.split()})
+    order = "one two three four five six seven".split()
+    for width in (1, 2, 3, 5, 7):
+        lanes = windows(Words(pa.array([" ".join(order + order[::-1])])).names(), width)
+        assert len(set(zip(*[v.tolist() for v in lanes], strict=True))) == len({tuple((order + order[::-1])[i : i + width]) for i in range(15 - width)})
     sliced = Words(pa.array(["zzz", "a b", "c"]).slice(1))
     assert sliced.counts.tolist() == [2, 1]
 
@@ -124,11 +136,24 @@ def test_substrings_over_compacted_runs(spark, monkeypatch):
     docs, compactions = made_docs(n=30), []
     compact = substrings.FingerprintIndex.compact
     monkeypatch.setattr(substrings.FingerprintIndex, "compact", lambda self: compactions.append(len(self.runs)) or compact(self))
-    docs = [(i if i < 1000 else 90 + i - 1000, t) for i, t in docs]
+    monkeypatch.setattr(substrings, "HOT", 2)  # so that anchors of three entries are dealt over parts
+    docs = [(i if i < 900 else i - 880, t) for i, t in docs]
     frame = spark.createDataFrame(docs, "doc_id long, text string")
-    got = substrings.kept_text(frame, substrings.dedup(Scratch(spark, "test"), frame, 7)).collect()
+    got = substrings.kept_text(frame, substrings.dedup(Scratch(spark, "test"), frame, 8)).collect()
     assert {r.doc_id: r.n_removed for r in got} == removed_words(docs)
-    assert compactions == [5]
+    assert compactions == [3, 3, 3]
+
+
+def test_runs_are_joined_where_they_lie(spark):
+    frame = spark.createDataFrame(made_docs(n=30), "doc_id long, text string")
+    index = substrings.FingerprintIndex(Scratch(spark, "test"), buckets=3)
+    index.ingest(frame.filter("doc_id < 50"), frame.filter("doc_id < 50"))
+    anchors = substrings.spans_of(frame.filter("doc_id >= 50"), 50).select("fp").distinct()
+    with substrings.sorted_buckets(spark):
+        plan = index.met(anchors)._jdf.queryExecution().executedPlan().toString()
+    run = plan[: plan.index("SelectedBucketsCount: 3 out of 3")].splitlines()
+    join = next(k for k, line in enumerate(run) if "SortMergeJoin" in line)
+    assert not [line for line in run[join + 1 :] if "Exchange" in line or "Sort " in line], plan
 
 
 def test_substrings_of_odd_tables(spark):
@@ -180,6 +205,36 @@ def test_near_groups_of_odd_tables(spark):
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1, r.kept) for r in got) == [(-1, 1, -1, True), (5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 0, 7, True), (8, 0, 8, True)]
 
 
+def test_every_pair_just_at_the_threshold_is_linked(spark):
+    """400 pairs of similarity 0.85 to 0.86, each of words of its own."""
+    pick, docs = random.Random(9), []
+    for k in range(400):
+        n = pick.choice([60, 150, 400])
+        one = [f"{k}.{j}" for j in range(n)]
+        two, at = list(one), 0
+        while True:  # changed words, three shingles each, for as long as the pair stays alike
+            new = [*two[:at], "changed", *two[at + 1 :]]
+            a, b = ({tuple(w[i : i + 3]) for i in range(n - 2)} for w in (one, new))
+            if 100 * len(a & b) < 85 * len(a | b):
+                break
+            two, at = new, at + pick.choice([3, 4])
+        docs += [(2 * k, " ".join(one)), (2 * k + 1, " ".join(two))]
+    got = nearpairs.near_groups(Scratch(spark, "test"), spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got.filter("component_id != doc_id - doc_id % 2").count() == 0
+
+
+def test_columns_of_any_name_pass(spark):
+    """The operators' own columns never meet the caller's."""
+    own = ["s1", "s2", "sig", "component", "n", "id", "a", "b", "key", "slot", "__a", "__n", "__group", "__whole", "__key", "__spans", "kept_by"]
+    rows = [(k, f"some text of document {k // 2}", *[f"{c}{k}" for c in own]) for k in range(6)]
+    frame = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"{c} string" for c in own]]))
+    got = {r.doc_id: r for r in nearpairs.near_groups(Scratch(spark, "test"), frame).collect()}
+    assert all(got[k].component_id == k - k % 2 and all(got[k][c] == f"{c}{k}" for c in own) for k in range(6))
+    removed = substrings.dedup(Scratch(spark, "test"), frame)
+    got = {r.doc_id: r for r in substrings.kept_text(frame, removed).collect()}
+    assert all(got[k].n_words == 5 and all(got[k][c] == f"{c}{k}" for c in own) for k in range(6))
+
+
 def test_signatures_meet_within_the_distance(spark):
     """Any two signatures that differ in at most DISTANCE places share a key."""
     import numpy as np
@@ -233,27 +288,30 @@ def test_pieces(spark):
     bits = ["a", "the ", "  ", "\n", "\t", "▁", "é", "漢", "😀", "ing", "\x00", "<s>", "<0x0A>", "   ", "'", ".", "�", "1", "Q", "ung"]
     texts = ["".join(pick.choice(bits) for _ in range(pick.randint(0, 60))) for _ in range(800)]
     texts += ["", " ", None, "x" * 3000, "the " * 5000, "line\n" * 3000, "why" + "!" * 3000, "\n" * 3000, "\n a.\n.b", "漢" * 2000, *[t for _, t in made_docs(n=20)]]
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS ids", "'x' AS other")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "1 AS ids", "'x' AS other", "'y' AS __text", "'z' AS __whole")
     got = {r.doc_id: r for r in pieces.encode_decode(frame).collect()}
     library = pieces.Pieces(pieces.default_model()).library
     for k, t in enumerate(texts):
         ids = library.encode(t or "")
-        assert (got[k].n_tokens, got[k]["ids"], got[k].decoded, got[k].other) == (len(ids), ids, library.decode(ids), "x")
+        assert (got[k].n_tokens, got[k]["ids"], got[k].decoded, got[k].other, got[k]["__text"], got[k]["__whole"]) == (len(ids), ids, library.decode(ids), "x", "y", "z")
     digest = {r.doc_id: r for r in pieces.encode_decode(frame, digests=True).collect()}
     assert digest[3].ids_sha256 == hashlib.sha256(",".join(map(str, got[3]["ids"])).encode()).hexdigest()
     assert pieces.encode_decode(frame.limit(0)).collect() == []
 
 
-def test_words_are_checked_against_the_librarys_decode():
-    good, bad = pieces.Codec(pieces.default_model()), pieces.Codec(pieces.default_model())
-    for text in ("the river", "\n a.\n.b", "漢\x00 é", "  two"):
-        good.text(text)
-    good.check()
-    right = bad.pieces.decode
-    bad.pieces.decode = lambda ids, **how: right(ids, **how).replace("r", "R")
-    bad.text("the river")
+def test_stretches_are_checked_against_the_library():
+    p = pieces.Pieces(pieces.default_model())
+    texts = ["the river", "\n a.\n.b", "漢\x00 é", "  two", "x" * 200, ""]
+    for most in (1 << 20, 5, 40):  # whole, and in parts
+        assert [(ids, text) for _, ids, text in pieces.coded(p, texts, False, most)] == [(p.library.encode(t), t) for t in texts]
+        hashed = pieces.coded(p, texts, True, most)
+        assert [x[1] for x in hashed] == [hashlib.sha256(",".join(map(str, p.library.encode(t))).encode()).hexdigest() for t in texts]
+    p.raw[p.library.encode("river")[0]] = b" River"
     with pytest.raises(ValueError, match="decodes"):
-        bad.check()
+        pieces.coded(p, texts, True)
+    p.order[p.library.encode("river")[0]] = p.never
+    with pytest.raises(ValueError, match="encodes"):
+        pieces.coded(p, texts, True)
 
 
 def test_decoding_of_any_ids():
@@ -290,6 +348,84 @@ def test_lattice_adds_all_segmentations():
         assert (lattice.expected(v, rows, logp) * [len(b) for b in v.bytes]).sum() == pytest.approx(len(text))
 
 
+def segmentations(v, logp, data):
+    """Forward and backward sums and expected counts, piece by piece from a dict."""
+    import math
+
+    number = {b: i for i, b in enumerate(v.bytes) if b" " not in b[1:]}
+    pieces_at = {(a, b): number[data[a:b]] for b in range(1, len(data) + 1) for a in range(max(0, b - v.longest), b) if data[a:b] in number}
+    ahead, back = [1.0] + [0.0] * len(data), [0.0] * len(data) + [1.0]
+    for (a, b), i in sorted(pieces_at.items(), key=lambda e: e[0][1]):
+        ahead[b] += ahead[a] * math.exp(logp[i])
+    for (a, b), i in sorted(pieces_at.items(), key=lambda e: -e[0][0]):
+        back[a] += back[b] * math.exp(logp[i])
+    counts = {}
+    for (a, b), i in pieces_at.items():
+        counts[i] = counts.get(i, 0) + ahead[a] * math.exp(logp[i]) * back[b] / ahead[-1]
+    return math.log(ahead[-1]), counts
+
+
+def test_long_words_like_short_ones():
+    import numpy as np
+
+    v = lattice.vocabulary(lattice.default_model())
+    logp, _ = lattice.log_weights(v, 5000 * v.prior, 100.0)
+    for word in (b" the", " ététhing漢".encode(), b" abcabcthing,"):
+        data = np.frombuffer(word, np.uint8)
+        total, counts = segmentations(v, logp, word)
+        assert lattice.forward(v, data[None], logp)[0] == pytest.approx(total)
+        for step in (3, 4096):
+            assert lattice.forward_long(v, data, logp, step)[-1] == pytest.approx(total)
+            got = lattice.expected_long(v, data, logp, step)
+            assert {i: got[i] for i in np.flatnonzero(got > 1e-12)} == pytest.approx({i: c for i, c in counts.items() if c > 1e-12})
+        assert lattice.expected(v, data[None], logp) == pytest.approx(got)
+    long = np.frombuffer(b" " + b"the river " .replace(b" ", b"-") * 2000, np.uint8)[None]  # 20,000 bytes
+    began = time.process_time()
+    assert lattice.expected(v, long, logp).sum() > 1000 and np.isfinite(lattice.forward(v, long, logp)[0])
+    assert time.process_time() - began < 10
+
+
+def test_lm_scores_against_brute_force(spark):
+    """Counts, two rounds of expected pieces, the mixture and the lattice alone, from plain Python."""
+    import math
+
+    import numpy as np
+
+    docs = [(k, t) for k, t in made_docs(seed=9, n=12) if k < 900] + [(5000, "neverseen ünknown the the"), (5001, None), (5002, "z" * 90 + " tail")]
+    learn = {k: zlib.crc32(str(k).encode()) % 5 != 1 for k, _ in docs}
+    count = {}
+    for k, t in docs:
+        for w in words_of(t, lower=True) if learn[k] else []:
+            count[w] = count.get(w, 0) + 1
+    ends = sum(learn.values())
+    v = lattice.vocabulary(lattice.default_model())
+    counts, spelt = lattice.PRIOR * v.prior, lattice.PRIOR / 4
+    for _ in range(2):
+        logp, _ = lattice.log_weights(v, counts, spelt)
+        counts, spelt = lattice.PRIOR * v.prior, lattice.PRIOR / 4 + len(count)
+        for w in count:
+            for i, x in segmentations(v, logp, b" " + w.encode())[1].items():
+                counts[i] += x
+    logp, stop = lattice.log_weights(v, counts, spelt)
+    total = sum(count.values()) + ends
+    one, two = (sum(c == k for c in count.values()) for k in (1, 2))
+    discount = one / (one + 2 * two)
+    wanted = {}
+    for k, t in docs:
+        mixed = alone = math.log(ends / total)
+        for w in words_of(t, lower=True):
+            own = segmentations(v, logp, b" " + w.encode())[0] + stop
+            mixed += math.log(math.exp(own) * discount * len(count) / total + max(count.get(w, 0) - discount, 0) / total)
+            alone += own + math.log(1 - ends / total)
+        wanted[k] = (mixed / math.log(10), alone / math.log(10))
+    frame = spark.createDataFrame([(k, t, learn[k]) for k, t in docs], "doc_id long, text string, learn boolean").repartition(5)
+    scratch = Scratch(spark, "test")
+    model = lattice.train(scratch, frame, "learn", head=20)
+    assert np.allclose(model.pieces, counts, rtol=1e-6)
+    rows = lattice.score(scratch, frame, model, ["doc_id"]).collect()
+    assert {r.doc_id: (r.score, r.lattice_score) for r in rows} == {k: pytest.approx(x, rel=1e-6) for k, x in wanted.items()}
+
+
 def test_lm_scores(spark):
     import math
 
@@ -343,6 +479,65 @@ def test_quality(spark):
     assert quality.scored(docs.limit(0), model).collect() == []
 
 
+def test_quality_of_repeats_and_long_texts(spark):
+    say = lambda k, n: " ".join((["river", "stone"], ["BUY!!", "FREE$$$"])[k % 2][(k + j) % 2] + str(j % 9) for j in range(n))
+    rows = [(k, say(k, 30)) for k in range(60)]
+    rows += [(0, say(0, 30))] * 500 + [(0, say(0, 30 + j)) for j in range(100)] + [(60, say(0, 300_000)), (61, say(1, 300_000)), (62, "x" * 2_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(60)] * 3, "doc_id long, quality int")
+    seen = []
+    fit = quality.Model
+    quality.Model, model = (lambda rows, good: seen.append(len(rows)) or fit(rows, good)), None
+    try:
+        model = quality.train(docs, labels, "doc_id >= 0", most=50)
+        again = quality.train(docs.repartition(7), labels, "doc_id >= 0", most=50)
+    finally:
+        quality.Model = fit
+    assert seen[0] == seen[1] <= 50 and (model.weight == again.weight).all()
+    scores = {}
+    for r in quality.scored(docs, model).collect():
+        scores.setdefault(r.doc_id, []).append(r.score)
+    assert len(scores[0]) == 601 and scores[60][0] > 0.5 > scores[61][0] and 0 <= scores[62][0] <= 1
+    nobody = quality.train(docs, labels.limit(0), "doc_id >= 0")
+    assert {r.score for r in quality.scored(docs, nobody).collect()} == {0.5}
+
+
+def plain_features(text):
+    """The n-grams of a text as a Python set: bytes, and words and pairs of them."""
+    raw = text.encode()
+    words = raw.split()
+    grams = {(n, raw[i : i + n]) for n in (1, 2, 3) for i in range(len(raw) - n + 1)}
+    return grams | {("w", w) for w in words} | {("p", a, b) for a, b in zip(words, words[1:], strict=False)}
+
+
+def test_quality_query_against_brute_force(spark):
+    """The query's rows and folds, its scores from each text alone, and what its features stand for."""
+    import numpy as np
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.doc_id: r for r in quality.op2_quality(spark, sf).collect()}
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    assert got.keys() == docs.keys()
+    held = {k: zlib.crc32(str(k).encode()) % 4 == 2 for k in docs}
+    assert all(got[k].held_out == held[k] and got[k].predicted == (got[k].score >= 0.7) for k in docs)
+    rows = {k: next(quality.features(pa.array([t]))) for k, t in docs.items()}
+    for k, t in docs.items():  # a place for each n-gram, but where two share one
+        n = len(plain_features(t))
+        assert n - len(rows[k]) <= n * n / (1 << quality.BITS) + 8 and len(rows[k]) <= n
+    taught = sorted((k, labels[k], rows[k].tobytes()) for k in labels if k in docs and not held[k])
+    model = quality.Model([np.frombuffer(r, np.int32) for _, _, r in taught], np.array([q == 1 for _, q, _ in taught], bool))
+    counts = [np.full(1 << quality.BITS, 1.0) for _ in range(2)]
+    for _, q, r in taught:
+        counts[q][np.frombuffer(r, np.int32)] += 1
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    assert np.allclose(model.ratio, ratio, atol=1e-6)
+    for k in docs:
+        x = ratio[rows[k]]
+        margin = float(model.weight[rows[k]] @ (x / np.sqrt(x @ x))) + model.bias if len(x) else model.bias
+        assert got[k].score == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.offset))), abs=1e-5)
+
+
 def test_dual_descent_reaches_the_optimum():
     """At the optimum every dual variable meets its condition."""
     import numpy as np
