@@ -8,8 +8,11 @@ alone. `write_archives` returns that index; `read_archives` reads every record b
 Deduplication follows WARC 1.1's identical-payload-digest profile: of records with equal payloads of at
 least `least_bytes` the smallest id's is `response`, the others `revisit` it and carry no payload.
 
+Records carry one date, a parameter, so that equal pages give equal bytes. A payload of any length is one record
+in one frame of its own, so a task holds the longest payload and its record in memory.
+
 Defined cases: a null payload is empty; repeated rows of one id with one payload are responses all, when
-that id is the smallest; a record with a null id is never the one referred to, unless all ids of its
+that id is the smallest; rows equal in id, address and payload are one capture and share its WARC-Record-ID; a record with a null id is never the one referred to, unless all ids of its
 payload are null; an empty table gives no bundle; other columns are ignored.
 """
 
@@ -112,16 +115,27 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def encode_record(id_: int | None, url: str | None, payload: bytes, sha1: str, first: int | None, revisit: bool) -> tuple[str, bytes]:
-    """(record id, bytes) of a response, or of a revisit of record `first`."""
-    record_id = f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{id_}|{sha1}|{revisit}'.encode()).digest()[:16], version=5)}>"
+def target(url: str | None) -> str:
+    return "".join(f"%{ord(c):02X}" if ord(c) <= 32 or ord(c) == 127 else c for c in url or "")
+
+
+def record_id_of(id_: int | None, url: str | None, sha1: str, revisit: bool) -> str:
+    """One for each capture; rows equal in id, address and payload are one capture."""
+    named = repr((id_, url, sha1, revisit)).encode("utf-8", "surrogatepass")
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(named).digest()[:16], version=5)}>"
+
+
+def encode_record(id_: int | None, url: str | None, payload: bytes, sha1: str, first: tuple[int | None, str | None] | None, date: str = DATE) -> tuple[str, bytes]:
+    """(record id, bytes) of a response, or of a revisit of the record with the id and address `first`."""
+    revisit = first is not None
+    record_id = record_id_of(id_, url, sha1, revisit)
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + (b"" if revisit else payload)
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
         f"WARC-Record-ID: {record_id}",
-        f"WARC-Date: {DATE}",
-        "WARC-Target-URI: " + "".join(f"%{ord(c):02X}" if ord(c) <= 32 or ord(c) == 127 else c for c in url or ""),
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {target(url)}",
         f"WARC-Payload-Digest: sha1:{sha1}",
         f"X-Payload-Length: {len(payload)}",
         "Content-Type: application/http; msgtype=response",
@@ -130,7 +144,8 @@ def encode_record(id_: int | None, url: str | None, payload: bytes, sha1: str, f
         lines.append(f"X-Page-ID: {id_}")
     if revisit:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
-        lines += [f"X-Refers-To-Page-ID: {first}"] if first is not None else []
+        lines += [f"WARC-Refers-To: {record_id_of(*first, sha1, False)}", f"WARC-Refers-To-Target-URI: {target(first[1])}"]
+        lines += [f"X-Refers-To-Page-ID: {first[0]}"] if first[0] is not None else []
     lines.append(f"Content-Length: {len(body)}")
     return record_id, "\r\n".join(lines).encode("utf-8", "surrogatepass") + b"\r\n\r\n" + body + b"\r\n\r\n"
 
@@ -151,22 +166,24 @@ def decode_record(data: bytes) -> dict:
     return {"id": number("X-Page-ID"), "url": fields["WARC-Target-URI"], "payload": payload, "payload_bytes": int(fields["X-Payload-Length"]), "payload_digest": told, "record_type": kind, "refers_to": number("X-Refers-To-Page-ID")}
 
 
-def with_revisits(records: DataFrame, least_bytes: int = 0, salts: int = 16) -> DataFrame:
-    """records (id, url, payload) with `first`, the smallest id of an equal payload, where the row revisits it.
+def with_revisits(records: DataFrame, least_bytes: int = 0, salts: int = 1024) -> DataFrame:
+    """records (id, url, payload) with `first`, id and address of the smallest id of an equal payload, where the row revisits it.
 
-    Only payloads that occur more than once are joined, each in `salts` copies met by a salt of the id, so
-    the rows of one very common payload spread over as many tasks.
+    Only payloads that occur more than once are joined, each once for every salt that its rows have (a hash of id and
+    address below `salts`), so the rows of one very common payload spread over as many tasks and the copies never
+    outnumber the rows.
     """
     salt = F.pmod(F.xxhash64("id", "url"), F.lit(salts)).cast("int").alias("salt")
     keyed = records.select("id", "url", "payload", F.sha1(F.col("payload").cast("binary")).alias("sha1"), salt)
     twice = records.filter(F.octet_length("payload") >= least_bytes).groupBy(F.sha1(F.col("payload").cast("binary")).alias("sha1"))
-    twice = twice.agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha1", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "url")).alias("first")  # a null id comes last
+    twice = twice.agg(least, F.count("*").alias("n"), F.collect_set(salt).alias("met")).filter("n > 1").select("sha1", F.struct("first.id", "first.url").alias("first"), F.explode("met").alias("salt"))
     joined = keyed.join(twice, ["sha1", "salt"], "left")
-    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
+    revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first.id"))
     return joined.select("id", "url", "payload", F.when(revisit, F.col("first")).alias("first"))
 
 
-def write_archives(records: DataFrame, root: str, frame_bytes: int = 1 << 18, bundle_bytes: int = 64 << 20) -> DataFrame:
+def write_archives(records: DataFrame, root: str, frame_bytes: int = 1 << 18, bundle_bytes: int = 64 << 20, date: str = DATE) -> DataFrame:
     """Writes each partition of (id, url, payload, first) to bundles under root; lazily returns INDEX rows.
 
     A file's name is new at every attempt and only the index of a finished task names it, so a lost or
@@ -180,7 +197,7 @@ def write_archives(records: DataFrame, root: str, frame_bytes: int = 1 << 18, bu
                 if writer is None:
                     writer = BundleWriter(f"{root}/{uuid.uuid4().hex}.warc.zst", frame_bytes)
                 payload = (row["payload"] or "").encode("utf-8", "surrogatepass")
-                name, data = encode_record(row["id"], row["url"], payload, digest(payload), row["first"], row["first"] is not None)
+                name, data = encode_record(row["id"], row["url"], payload, digest(payload), (row["first"]["id"], row["first"]["url"]) if row["first"] else None, date)
                 frame, offset = writer.add(data)
                 rows.append((writer.path, name, row["id"], frame, offset, len(data)))
                 if writer.written >= bundle_bytes:

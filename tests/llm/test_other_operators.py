@@ -40,7 +40,30 @@ def test_archives(spark):
 def test_small_payloads_stay_responses(spark):
     frame = spark.createDataFrame([(1, "u", "ab"), (2, "v", "ab"), (3, "w", "abc" * 9), (4, "x", "abc" * 9)], "id long, url string, payload string")
     got = {r.id: r.first for r in warc.with_revisits(frame, least_bytes=10).collect()}
-    assert got == {1: None, 2: None, 3: None, 4: 3}
+    assert {k: f and f.id for k, f in got.items()} == {1: None, 2: None, 3: None, 4: 3}
+
+
+def test_record_ids(spark):
+    """One for each capture; a revisit names its response's."""
+    rows = [(1, "u", "same"), (1, "v", "same"), (2, "u", "same"), (3, "w", "other"), (None, "n", "same"), (4, "long", "x" * 3_000_000)]
+    frame = spark.createDataFrame([(*r, "s") for r in rows], "id long, url string, payload string, salt string")
+    scratch = Scratch(spark, "test")
+    index = scratch.save(warc.write_archives(warc.with_revisits(frame, salts=3), scratch.folder("b"), frame_bytes=100), "index").collect()
+    assert len({r.record_id for r in index}) == len(rows)
+    heads = {}
+    for r in index:
+        reader = warc.BundleReader(r.bundle)
+        data = reader.frame(r.frame)[r.offset : r.offset + r.length]
+        reader.close()
+        heads[r.record_id] = dict(x.split(": ", 1) for x in data.partition(b"\r\n\r\n")[0].decode().split("\r\n")[1:])
+    assert all(h["WARC-Record-ID"] == k for k, h in heads.items())
+    revisits = [h for h in heads.values() if h["WARC-Type"] == "revisit"]
+    assert len(revisits) == 2
+    for h in revisits:
+        first = heads[h["WARC-Refers-To"]]
+        assert (first["X-Page-ID"], first["WARC-Target-URI"], first["WARC-Type"]) == ("1", h["WARC-Refers-To-Target-URI"], "response")
+    back = {(r.id, r.url): r for r in warc.read_archives(spark.createDataFrame(index)).collect()}
+    assert back[4, "long"].payload_bytes == 3_000_000 and back[None, "n"].refers_to == 1
 
 
 def fold(events):
