@@ -5,7 +5,8 @@ an item's patterns are its windows of `width` words, or all its words where ther
 positions of the normalised text and are mapped to words, and those to character offsets of the original.
 
 The patterns are broadcast in groups of at most `group_bytes`, one automaton and one pass over the texts for
-each group, so the broadcast's size is bounded however large the test set gets and no pattern is left out.
+each group, so the broadcast's size is bounded however large the test set gets and no pattern is left out; the
+results of all passes but the last are saved, so that no worker holds two automata.
 
 Defined cases: a null or empty text has no words; items without words match nothing; equal items are all
 reported; an item with a null id counts for hits but has no id to report; repeated documents give a row
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import table
+from tabulon.llm.common import Scratch, table
 
 _KEEP = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
 #: Lower-cases A-Z and puts a space for every byte that isn't part of a word.
@@ -118,7 +119,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, group_
     extra = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.LongType()))]
     schema = T.StructType([*out.schema.fields, *extra])
     sc, passes = docs.sparkSession.sparkContext, 0
+    scratch = None
     for group in pattern_groups(benchmark, width, group_bytes) if not benchmark.isEmpty() else []:
+        if passes:  # a pass is a job of its own, so a worker holds one automaton
+            scratch = scratch or Scratch(docs.sparkSession, "contamination")
+            out = scratch.save(out, f"pass-{passes}")
         out = out.mapInArrow(scan(sc.broadcast(group), uuid.uuid4().hex, keep, passes > 0), schema)
         passes += 1
     if not passes:
