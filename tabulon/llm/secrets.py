@@ -192,13 +192,15 @@ def made_findings(spark: SparkSession, n: int = 12_000) -> DataFrame:
         F.concat(F.lit("<img src=data:image/png;base64,"), code("im", 120), F.lit(">")),
         F.concat_ws("-", word("h1"), word("h2"), word("h3"), digits("h4", 3)),
     ]
-    pick = lambda options: F.element_at(F.array(*options), (F.pmod(F.col("id").cast("long"), F.lit(len(options))) + 1).cast("int"))
-    is_good = F.col("half") == 0
-    before, secret, after = (pick([g[k] for g in good]) for k in range(3))
+    shapes = [*[(F.concat(*g), g[1]) for g in good], *[(b, F.lit(None).cast("string")) for b in bad]]
     around = lambda *ks: F.concat_ws(" ", *[word(k) for k in ks])
-    rows = spark.range(n).select(F.floor(F.col("id") / 2).alias("id"), F.pmod("id", F.lit(2)).alias("half"))
-    text = F.concat(around("t1", "t2", "t3"), name("t4", " ", ". ", "\n", "\t"), F.when(is_good, F.concat(before, secret, after)).otherwise(pick(bad)), F.lit(" "), around("t5", "t6"))
-    return rows.select((F.col("id") * 2 + F.col("half")).alias("doc_id"), text.alias("text"), F.when(is_good, secret).alias("secret"))
+    out = None
+    for k, (said, secret) in enumerate(shapes):  # a plan for each shape, as code of all would be too long to compile
+        rows = spark.range(0, n // len(shapes), 1, 1).select((F.col("id") * len(shapes) + k).alias("id"))
+        text = F.concat(around("t1", "t2", "t3"), name("t4", " ", ". ", "\n", "\t"), said, F.lit(" "), around("t5", "t6"))
+        rows = rows.select(F.col("id").alias("doc_id"), text.alias("text"), secret.alias("secret"))
+        out = rows if out is None else out.union(rows)
+    return out
 
 
 def labelled_candidates(scratch: Scratch, passages: DataFrame) -> DataFrame:
