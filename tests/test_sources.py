@@ -11,6 +11,7 @@ import pytest
 from tabulon.errors import LoadError
 from tabulon.naming import column_names, database_name, sanitise, table_name, unique
 from tabulon.session import Engine
+from tabulon.sources.csv import records
 
 
 def load(spark, tmp_path, text, name="data.csv", **options):
@@ -169,3 +170,26 @@ def test_xls(spark, tmp_path):
     (tmp_path / "bad.xls").write_bytes(b"nothing")
     with pytest.raises(LoadError):
         Engine(spark).load(str(tmp_path / "bad.xls"))
+
+
+def test_records_over_lines_are_split_over_tasks(spark, tmp_path):
+    """Records of one line and of many, over blocks much smaller than the file, against Python's reader."""
+    import csv
+    import random
+
+    pick = random.Random(3)
+    rows = [(str(k), pick.choice(["plain", 'say ""hi""', "a\nb", "x,\n\n,y", "é" * 50, "", "line\n" * 40, "end\r"]).replace('""', '"'), str(k * 2)) for k in range(400)]
+    path = tmp_path / "data.csv"
+    with open(path, "w", newline="") as out:
+        csv.writer(out, lineterminator="\n").writerows([("id", "said", "twice"), *rows])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        e = Engine(spark).load(str(path))
+        assert records(spark, str(path)).select("block").distinct().count() > 20
+        got = result(e, "SELECT id, said, twice FROM data ORDER BY id")
+        assert got == [(int(a), b or None, int(c)) for a, b, c in rows]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
