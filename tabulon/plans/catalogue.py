@@ -12,6 +12,7 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabulon.plans import files
 from tabulon.session import Engine
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -135,8 +136,8 @@ def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: partial(run, name) for name in QUERIES}
+    return {name: partial(run, name) for name in QUERIES} | files.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle or sql for name, (sql, oracle) in QUERIES.items() if name not in NO_ORACLE}
+    return {name: oracle or sql for name, (sql, oracle) in QUERIES.items() if name not in NO_ORACLE} | files.oracle_sql()
