@@ -14,8 +14,9 @@ equal if 128 bits of all of them and their sizes are, and links are confirmed on
 Rows follow the number of documents, not of pairs in a group. Equal sets are one class. Each class is first
 confirmed against the smallest member of the buckets it mostly shares, which joins a group of copies to its
 hub. Then only buckets that still hold two components are compared, in blocks; what leaves them is not the
-near pairs but a spanning forest of them. Each tree's documents come together in blocks with their texts,
-where all near pairs across components are confirmed. No bucket is capped.
+near pairs but a spanning forest of them. The forest's edges are confirmed first; the documents of trees that
+still hold two components come together in blocks with their texts, where all near pairs across components are
+confirmed. No bucket is capped.
 
 Defined cases: a null or empty text has an empty set and links with nothing; rows that share an id are one
 node of the links; a null id links with nothing; repeated rows are one class; an empty table gives no
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm.common import Scratch, components, fresh, joined, table
-from tabulon.llm.words import Names, Words, mix, slices, windows
+from tabulon.llm.words import Names, Words, mix, slices, thrifty, windows
 
 #: Min-hashes in a signature; a layout indexes some or all of them.
 HASHES = 60
@@ -152,7 +153,7 @@ def sets_of(docs: DataFrame, width: int, own: list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(size), pa.array(mix(s[0]).view(np.int64)), pa.array(s[1].view(np.int64)), sig], names=[*keep, "n_shingles", *own])
 
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("n_shingles", T.LongType()), T.StructField(own[0], T.LongType()), T.StructField(own[1], T.LongType()), T.StructField(own[2], T.BinaryType())])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(thrifty(run), schema)
 
 
 def keys_of(classes: DataFrame, percent: int = 85) -> DataFrame:
@@ -178,7 +179,7 @@ def keys_of(classes: DataFrame, percent: int = 85) -> DataFrame:
                 slots = np.tile(np.arange(indexed, dtype=np.int8), len(sig))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(slots), pa.array(ids)], names=["key", "slot", "id"])
 
-    return classes.select("id", "sig").mapInArrow(run, "key long, slot byte, id long")
+    return classes.select("id", "sig").mapInArrow(thrifty(run), "key long, slot byte, id long")
 
 
 def confirmed(scratch: Scratch, pairs: DataFrame, docs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
@@ -212,7 +213,7 @@ def confirmed(scratch: Scratch, pairs: DataFrame, docs: DataFrame, width: int, p
                     ok[k] = alike(kept, other, percent)
                 yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
 
-    out = scratch.save(both.mapInArrow(run, "a long, b long").distinct(), name)
+    out = scratch.save(both.mapInArrow(thrifty(run), "a long, b long").distinct(), name)
     scratch.drop(f"{name}-texts")
     return out
 
@@ -362,18 +363,22 @@ def near_groups(scratch: Scratch, docs: DataFrame, width: int = 3, percent: int
     open_ = scratch.save(open_.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "open")
     signed = classes.select("id", F.col("n_shingles").alias("size"), "sig")
     left = placed.join(open_.hint("merge"), "key").join(signed.hint("merge"), "id")
-    near = scratch.save(blocked(left, "key").mapInArrow(lambda b: forest(b, percent), "a long, b long").distinct(), "near")
+    near = scratch.save(blocked(left, "key").mapInArrow(thrifty(lambda b: forest(b, percent)), "a long, b long").distinct(), "near")
     scratch.drop("placed")
-    # what near pairs join, with texts
+    # first each tree's own edges, as many as documents; then, with texts, all near pairs of trees that still hold two components
+    known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    labels = components(scratch, known.union(confirmed(scratch, near, docs, width, percent, "tree-links")), "joined")
     trees = components(scratch, near, "trees").withColumnRenamed("component", "tree")
-    blocks = scratch.save(trees.groupBy("tree").agg(F.ceil(F.count("*") / text_block).cast("int").alias("blocks")), "blocks")
-    wanted = scratch.save(trees.join(blocks, "tree").join(labels, "id", "left").select("id", "tree", "blocks", F.coalesce("component", "id").alias("component")), "wanted")
+    trees = scratch.save(trees.join(labels, "id", "left").select("id", "tree", F.coalesce("component", "id").alias("component")), "placed-trees")
+    blocks = trees.groupBy("tree").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
+    blocks = scratch.save(blocks.select("tree", F.ceil(F.col("n") / text_block).cast("int").alias("blocks")), "blocks")
+    wanted = scratch.save(trees.join(blocks, "tree").select("id", "tree", "blocks", "component"), "wanted")
     ids = wanted.select(F.col("id").alias("doc_id"))
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids) if few else ids.hint("merge"), "doc_id")
     # rows that share an id give each of their texts with each of their signatures; sets decide
     rows = wanted.join(signed, "id").join(texts.withColumnRenamed("doc_id", "id"), "id").withColumn("slot", F.lit(0).cast("byte"))
-    more = scratch.save(blocked(rows, "tree").mapInArrow(lambda b: links_in(b, width, percent), "a long, b long").distinct(), "more-links")
+    more = scratch.save(blocked(rows, "tree").mapInArrow(thrifty(lambda b: links_in(b, width, percent)), "a long, b long").distinct(), "more-links")
     known = labels.select(F.col("id").alias("a"), F.col("component").alias("b"))
     labels = components(scratch, known.union(more), "second")
     # rows that share an id are one node, so the smallest component of its classes is the id's
