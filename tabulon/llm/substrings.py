@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm.common import Scratch, fresh, table
-from tabulon.llm.words import Names, Words, followed, slices, windows
+from tabulon.llm.words import Names, Words, followed, slices, thrifty, windows
 
 #: Words in an anchor.
 GRAM = 10
@@ -108,7 +108,7 @@ def spans_of(docs: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (signed(fp), signed(h1), signed(h2), ids, (a - base).astype(np.int32), (b - base).astype(np.int32))], names=SPANS.replace(" long", "").replace(" int", "").split(", "))
 
     whole = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return whole.mapInArrow(run, SPANS)
+    return whole.mapInArrow(thrifty(run), SPANS)
 
 
 def windows_of(texts: DataFrame, width: int) -> DataFrame:
@@ -132,7 +132,12 @@ def windows_of(texts: DataFrame, width: int) -> DataFrame:
                 ids = batch.column(0).to_numpy(zero_copy_only=False)[owner].astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (signed(x[at]), signed(y[at]), ids, (at - found.first[owner]).astype(np.int32))], names=["w1", "w2", "doc_id", "start"])
 
-    return texts.select("doc_id", "text", "spans").mapInArrow(run, "w1 long, w2 long, doc_id long, start int")
+    return texts.select("doc_id", "text", "spans").mapInArrow(thrifty(run), "w1 long, w2 long, doc_id long, start int")
+
+
+def first_of(spans: DataFrame) -> DataFrame:
+    """The first occurrence of each span."""
+    return spans.groupBy(*KEY).agg(F.min(F.struct("doc_id", "a", "b")).alias("at")).select(*KEY, "at.*")
 
 
 @dataclass
@@ -173,11 +178,14 @@ class FingerprintIndex:
             out = found if out is None else out.union(found)
         return out
 
-    def ingest(self, docs: DataFrame, corpus: DataFrame) -> DataFrame:
-        """Removed window starts (doc_id, a, b) of a batch; corpus (doc_id, text) holds the batch and all before it."""
+    def ingest(self, docs: DataFrame, corpus: DataFrame, last: bool = False) -> DataFrame:
+        """Removed window starts (doc_id, a, b) of a batch; corpus (doc_id, text) holds the batch and all before it.
+
+        last: no batch will follow, so this one becomes no run.
+        """
         self.n += 1
         spans = self._save(spans_of(docs, self.width), "spans")
-        anchors = self._save(spans.groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")), "anchors")
+        anchors = self._save(spans.groupBy("fp").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")), "anchors")
         with sorted_buckets(self.scratch.spark):
             known = self.met(anchors)
             known = known if known is None else self._save(known, "known")
@@ -186,9 +194,9 @@ class FingerprintIndex:
         if known is not None:
             shared = shared.union(known.select("fp")).distinct()
         shared = self._save(shared, "shared")
-        met = self._save(spans.join(shared.hint("merge"), "fp"), "met")
-        firsts = met.select(*KEY, "doc_id", "a", "b")
-        firsts = (firsts if known is None else firsts.unionByName(known)).groupBy(*KEY).agg(F.min(F.struct("doc_id", "a", "b")).alias("at")).select(*KEY, "at.*")
+        met = self._save(spans.join(shared, "fp"), "met")
+        places = met.select(*KEY, "doc_id", "a", "b")
+        firsts = first_of(places if known is None else places.unionByName(known))
         firsts = self._save(firsts, "firsts")
         owner = firsts.select(*KEY, F.col("doc_id").alias("owner"))
         covered = met.join(owner.hint("merge"), KEY).filter("owner < doc_id").select("doc_id", "a", "b")
@@ -209,19 +217,18 @@ class FingerprintIndex:
             again = again.select("doc_id", F.col("start").alias("a"), F.col("start").alias("b"))
             out = out.union(again if batch is None else again.join(batch, "doc_id", "left_semi"))
         removed = self._save(out, "removed")
-        # the batch's first occurrences that the history lacks
-        new = spans.groupBy(*KEY).agg(F.min(F.struct("doc_id", "a", "b")).alias("at")).select(*KEY, "at.*")
-        if known is not None:
-            new = new.join(known.select(*KEY).hint("merge"), KEY, "left_anti")
-        self.runs.append(self._run(self._save(new, "new")))
-        if len(self.runs) > self.most_runs:
-            self.compact()
-        for name in ("spans", "anchors", "known", "shared", "met", "firsts", "several", "mixed", "windows", "repeated", "new"):
+        if not last:  # the batch's first occurrences that the history lacks
+            hot = anchors.filter(F.col("n") > HOT).select("fp", F.ceil(F.col("n") / HOT).cast("int").alias("parts"))
+            new = first_of(spans)
+            self.runs.append(self._run(new.join(known.select(*KEY), KEY, "left_anti") if known is not None else new, hot))
+            if len(self.runs) > self.most_runs:
+                self.compact()
+        for name in ("spans", "anchors", "known", "shared", "met", "firsts", "several", "mixed", "windows", "repeated"):
             self.scratch.drop(f"{name}-{self.n}")
         return removed
 
-    def _run(self, new: DataFrame) -> Run:
-        hot = self._save(new.groupBy("fp").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("fp", F.ceil(F.col("n") / HOT).cast("int").alias("parts")), "hot")
+    def _run(self, new: DataFrame, hot: DataFrame) -> Run:
+        hot = self._save(hot, "hot")
         some = not hot.isEmpty()
         parts = F.coalesce("parts", F.lit(1)) if some else F.lit(1)
         dealt = new.join(hot, "fp", "left") if some else new
@@ -231,12 +238,16 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Makes one run of all; no two have the same key."""
-        old, every = self.runs, None
+        old, every, hot = self.runs, None, None
         for r in old:
             part = r.entries.drop("part")
             every = part if every is None else every.union(part)
+            # counted in the buckets; an anchor with more than HOT entries in all has its share of them in some run
+            many = r.entries.groupBy("fp", "part").agg(F.count("*").alias("n")).filter(F.col("n") * len(old) > HOT)
+            hot = many if hot is None else hot.union(many)
+        hot = hot.groupBy("fp").agg(F.sum("n").alias("n")).select("fp", F.ceil(F.col("n") * len(old) / HOT).cast("int").alias("parts"))
         self.n += 1
-        self.runs = [self._run(every)]
+        self.runs = [self._run(every, hot)]
         for r in old:
             for name in r.names:
                 self.scratch.drop(name)
@@ -250,7 +261,7 @@ def dedup(scratch: Scratch, docs: DataFrame, batches: int = 4, width: int = 50)
     edges = [low + (high + 1 - low) * k // batches for k in range(batches + 1)]
     for k in range(batches):
         upto = docs.filter(F.col("doc_id") < edges[k + 1])
-        removed = index.ingest(upto.filter(F.col("doc_id") >= edges[k]), upto)
+        removed = index.ingest(upto.filter(F.col("doc_id") >= edges[k]), upto, last=k + 1 == batches)
         out = removed if out is None else out.union(removed)
     return out
 
@@ -286,7 +297,7 @@ def kept_text(docs: DataFrame, removed: DataFrame, width: int = 50, digests: boo
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), pa.string()], strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=[*keep, "n_words", "n_removed", name])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(thrifty(run), schema)
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
