@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm.common import Scratch, table
+from tabulon.llm.words import thrifty
 
 _KEEP = [*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]
 #: Lower-cases A-Z and puts a space for every byte that isn't part of a word.
@@ -150,7 +151,7 @@ def scan(patterns, key: str, keep: list[str], more: bool):
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64(), _SPANS, pa.list_(pa.int64())], strict=True)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(keep.index(c)) for c in keep], *columns], names=[*keep, *OWN])
 
-    return run
+    return thrifty(run)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm.common import fresh, table
-from tabulon.llm.words import mix
+from tabulon.llm.words import mix, thrifty
 
 SPACE = "▁"
 #: Stretches of up to so many characters are merged together.
 SHORT = 48
 #: Characters that are encoded at a time.
-PART = 1 << 20
+PART = 1 << 19
 #: A character that no piece has; it keeps a part's first symbol from the library's prefix.
 GUARDS = map(chr, range(0xE000, 0xF8FF))
 
@@ -432,7 +432,7 @@ def encode_decode(docs: DataFrame, model: str | None = None, column: str = "text
                 extra = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *extra], names=[*keep, *names])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(thrifty(run), schema)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

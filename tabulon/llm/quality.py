@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm.common import table
-from tabulon.llm.words import Words, mix, slices
+from tabulon.llm.words import Words, mix, slices, thrifty
 
 BITS = 18
 THRESHOLD = 0.7
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, learn, most: int = 6000) -> Model:
         texts = held.groupBy(*keys).agg(F.min("text").alias("text"))
         picked = held.select(*keys).distinct().orderBy("pick", "doc_id", "quality").limit(most)
         held = texts.join(F.broadcast(picked), ["doc_id", "quality", "pick"])
-    found = held.select("doc_id", "text", "quality").mapInArrow(extract, "doc_id long, quality int, row binary").toArrow().to_pylist()
+    found = held.select("doc_id", "text", "quality").mapInArrow(thrifty(extract), "doc_id long, quality int, row binary").toArrow().to_pylist()
     found = sorted(found, key=lambda r: (r["doc_id"], r["quality"], r["row"]))
     return Model([np.frombuffer(r["row"], np.int32) for r in found], np.array([r["quality"] == 1 for r in found], bool))
 
@@ -186,7 +186,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
                 score = 1 / (1 + np.exp(-np.clip(np.array(z), -500, 500)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*keep, "score"])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType())]))
+    return source.mapInArrow(thrifty(run), T.StructType([*source.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def learns(column: str = "doc_id"):

@@ -6,7 +6,10 @@ are named by doubling, in as many steps as the length has bits.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import suppress
+from functools import wraps
 from hashlib import blake2b
 
 import numpy as np
@@ -97,7 +100,22 @@ class Words:
         return mix(x + y), y
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives freed memory back: it stays for other stages, whose own comes on top."""
+
+    @wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # glibc's only
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about so many bytes of text, which bounds the memory of numpy's arrays."""
     texts = batch.column(column)
     wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
