@@ -2,6 +2,12 @@
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined cases: a null or empty text is scored as one without features, is near to nothing, holds no benchmark words
+and no secret, and is tokenised to no ids; a null stays null until the last stage. Texts of any length are taken
+whole. Repeated rows and rows that share an id are documents of their own in all stages but the second, which leaves
+one row of each group of near texts. A null id is kept like any other. Empty tables give no rows, and without labels
+every document scores 0.5, so the first stage keeps none. Other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import decontaminate, nearpairs, pieces, quality, secrets
-from tabulon.llm.common import Scratch, table
+from tabulon.llm.common import Scratch, fresh, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +33,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     that differ stay under one id. A null id comes after all others. Texts without words link with nothing and stay.
     """
     scratch = Scratch(spark, "pipeline-near")
-    rows = scratch.save(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    groups = nearpairs.near_groups(scratch, rows.select(F.col("__row").alias("doc_id"), F.col("doc_id").alias("__id"), "text"), width=5, percent=80)
-    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "doc_id")).alias("at"))
-    stay = scratch.save(first.select(F.col("at.doc_id").alias("__row")), "stay")
-    return rows.join(stay.hint("merge"), "__row", "left_semi").select(*docs.columns)
+    row = fresh(docs, "row")
+    rows = scratch.save(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    groups = nearpairs.near_groups(scratch, rows.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("own_id"), "text"), width=5, percent=80)
+    first = groups.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull(), "own_id", "doc_id")).alias("at"))
+    stay = scratch.save(first.select(F.col("at.doc_id").alias(row)), "stay")
+    return rows.join(stay.hint("merge"), row, "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +68,7 @@ STAGES = [
     ("SentencePiece encoding and decoding", tokenisation),
 ]
 
-#: The first stage's model and the fourth's forest have no SQL; tests hold near_dedup against brute force, the other stages only by their operators.
+#: The first stage's model and the fourth's forest have no SQL; tests hold each stage and run() against brute force.
 ORACLE_SQL = None
 
 

@@ -10,6 +10,7 @@ import zlib
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tabulon.llm import decontaminate, lattice, nearpairs, pieces, quality, secrets, substrings
 from tabulon.llm.common import Scratch, components
@@ -235,6 +236,25 @@ def test_columns_of_any_name_pass(spark):
     assert all(got[k].n_words == 5 and all(got[k][c] == f"{c}{k}" for c in own) for k in range(6))
 
 
+def test_columns_of_any_name_pass_the_other_operators(spark):
+    own = ["quality", "row", "k", "found", "gaps", "__hidden", "__id", "__key", "word", "rid", "kept", "lp", "c", "n", "label", "pick", "spans2", "part", "model"]
+    rows = [(j, f"the river flows {j} over stones and token = \"{hashlib.sha1(str(j).encode()).hexdigest()}\" end", *[f"{c}{j}" for c in own]) for j in range(12)]
+    frame = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *[f"{c} string" for c in own]]))
+    same = lambda frame: all(all(r[c] == f"{c}{r.doc_id}" for c in own) for r in frame.collect()) and frame.count() == 12
+    labels = spark.createDataFrame([(j, j % 2) for j in range(12)], "doc_id long, quality int")
+    assert same(quality.scored(frame, quality.train(frame, labels, "doc_id >= 0")))
+    items = spark.createDataFrame([(1, "the river flows")], "item_id long, text string")
+    found = decontaminate.contamination(frame, items)
+    assert same(found) and found.filter("n_hit = 3").count() == 12
+    several = decontaminate.contamination(frame, spark.createDataFrame([(1, "the river flows"), (2, "over stones")], "item_id long, text string"), group_bytes=4)
+    assert same(several) and several.filter("n_hit = 5 AND items = array(1L, 2L)").count() == 12
+    clean = secrets.redact(Scratch(spark, "test"), frame)
+    assert same(clean) and clean.columns == frame.columns and clean.filter("text LIKE '%token = \"[SECRET]\" end'").count() == 12
+    scratch = Scratch(spark, "test")
+    model = lattice.train(scratch, frame.withColumn("learn", F.lit(True)), "learn")
+    assert same(lattice.score(scratch, frame, model, ["doc_id", *own]))
+
+
 def test_signatures_meet_within_the_distance(spark):
     """Any two signatures that differ in at most DISTANCE places share a key."""
     import numpy as np
