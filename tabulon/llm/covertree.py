@@ -157,6 +157,7 @@ def walk(left: Tree, right: Tree, shift: int, links: Links, cosine: float) -> in
     leaf = [np.array([k is None for k in t.children]) for t in (left, right)]
     centre = [np.array(t.centre) for t in (left, right)]
     radius = [np.array(t.radius) for t in (left, right)]
+    size = [np.array([len(p) for p in t.points]) for t in (left, right)]
     todo, leaves = [(0, 0)], []
 
     def settle() -> None:
@@ -195,8 +196,10 @@ def walk(left: Tree, right: Tree, shift: int, links: Links, cosine: float) -> in
             i, j = np.nonzero(maybe)
             take = surely[i, j]
             x, y = rows[i], split_q[j]
-            for u, v in zip(x[take], y[take], strict=True):
+            many = size[0][x] * size[1][y] > LEAF * LEAF
+            for u, v in zip(x[take & many], y[take & many], strict=True):
                 links.all(left.points[u], right.points[v] + shift)
+            leaves += zip(x[take & ~many].tolist(), y[take & ~many].tolist(), strict=True)  # few points: cheaper computed with others
             todo += list(zip(x[~take].tolist(), y[~take].tolist(), strict=True))
         if len(leaves) > 20_000:
             settle()

@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from tabulon.llm.common import Scratch, table
 from tabulon.llm.pieces import SPACE, default_model
-from tabulon.llm.words import LOWER_BYTES
+from tabulon.llm.words import LOWER_BYTES, thrifty
 
 #: Words of more bytes are taken one by one, over their positions.
 LONG = 64
@@ -126,6 +126,19 @@ def vocabulary(model: str) -> Vocabulary:
     return _VOCABULARIES[model]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batches joined to larger ones: words of one length are scored together, the more the cheaper."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= rows or sum(b.nbytes for b in held) >= 16 << 20:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def by_length(words: list[bytes], most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(places, bytes as rows) of words of one length with their mark, in blocks of bounded size; long words each alone."""
     lengths = np.array([len(w) for w in words])
@@ -184,8 +197,8 @@ def expected_long(vocab: Vocabulary, data: np.ndarray, logp: np.ndarray, step: i
     return out[:-1]
 
 
-def edges(vocab: Vocabulary, rows: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(start, end, piece ids) of every span that may be a piece, by end."""
+def edges(vocab: Vocabulary, rows: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(start, end, rows in which that span is a piece, the pieces) by end."""
     n, length = rows.shape
     total = np.zeros((length + 1, n), np.uint64)
     for i in range(length):
@@ -197,8 +210,9 @@ def edges(vocab: Vocabulary, rows: np.ndarray) -> Iterator[tuple[int, int, np.nd
     for end in range(1, length + 1):
         for start in range(max(0, end - vocab.longest), end):
             ids = vocab.find(total[end] - total[start] * power[end - start])
-            if (ids != vocab.size).any():
-                yield start, end, ids
+            some = np.flatnonzero(ids != vocab.size)
+            if len(some):
+                yield start, end, some, ids[some]
 
 
 def forward(vocab: Vocabulary, rows: np.ndarray, logp: np.ndarray) -> np.ndarray:
@@ -207,8 +221,8 @@ def forward(vocab: Vocabulary, rows: np.ndarray, logp: np.ndarray) -> np.ndarray
         return np.array([forward_long(vocab, row, logp)[-1] for row in rows])
     at = np.full((rows.shape[1] + 1, len(rows)), -np.inf)
     at[0] = 0
-    for start, end, ids in edges(vocab, rows):
-        np.logaddexp(at[end], at[start] + logp[ids], out=at[end])
+    for start, end, some, ids in edges(vocab, rows):
+        at[end, some] = np.logaddexp(at[end, some], at[start, some] + logp[ids])
     return at[-1]
 
 
@@ -220,14 +234,15 @@ def expected(vocab: Vocabulary, rows: np.ndarray, logp: np.ndarray) -> np.ndarra
     ahead = np.full((rows.shape[1] + 1, len(rows)), -np.inf)
     back = ahead.copy()
     ahead[0] = back[-1] = 0
-    for start, end, ids in found:
-        np.logaddexp(ahead[end], ahead[start] + logp[ids], out=ahead[end])
-    out = np.zeros(vocab.size + 1)
-    for start, end, ids in sorted(found, key=lambda e: -e[0]):
-        np.logaddexp(back[start], logp[ids] + back[end], out=back[start])
-    for start, end, ids in found:
-        out += np.bincount(ids, np.exp(ahead[start] + logp[ids] + back[end] - ahead[-1]), vocab.size + 1)
-    return out[:-1]
+    for start, end, some, ids in found:
+        ahead[end, some] = np.logaddexp(ahead[end, some], ahead[start, some] + logp[ids])
+    pieces, shares = [], []
+    for start, end, some, ids in sorted(found, key=lambda e: -e[0]):
+        value = logp[ids] + back[end, some]
+        pieces.append(ids)
+        shares.append(np.exp(ahead[start, some] + value - ahead[-1, some]))
+        back[start, some] = np.logaddexp(back[start, some], value)
+    return np.bincount(np.concatenate(pieces), np.concatenate(shares), vocab.size) if pieces else np.zeros(vocab.size)
 
 
 def log_weights(vocab: Vocabulary, weights: np.ndarray, words: float) -> tuple[np.ndarray, float]:
@@ -288,7 +303,7 @@ def count_words(docs: DataFrame, learn: str, flush: int = 150_000) -> DataFrame:
         if every:
             yield out()
 
-    parts = docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn")).mapInArrow(count, "word binary, n long, c long")
+    parts = docs.select("text", F.coalesce(learn, F.lit(False)).alias("learn")).mapInArrow(thrifty(count), "word binary, n long, c long")
     return parts.groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
@@ -316,13 +331,13 @@ def train(scratch: Scratch, docs: DataFrame, learn: str, model: str | None = Non
         def expect(batches: Iterator[pa.RecordBatch], weights=weights) -> Iterator[pa.RecordBatch]:
             v, logp = vocabulary(model), weights.value
             total = np.zeros(v.size)
-            for batch in batches:
+            for batch in gathered(batches):
                 for _, rows in by_length(batch.column(0).to_pylist()):
                     total += expected(v, rows, logp)
             some = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["piece", "k"])
 
-        found = words.filter("c > 0").select("word").mapInArrow(expect, "piece int, k double").groupBy("piece").agg(F.sum("k").alias("k")).collect()
+        found = words.filter("c > 0").select("word").mapInArrow(thrifty(expect), "piece int, k double").groupBy("piece").agg(F.sum("k").alias("k")).collect()
         counts, spelt = PRIOR * vocab.prior, PRIOR / 4 + types
         for r in found:
             counts[r["piece"]] += r["k"]
@@ -333,7 +348,7 @@ def train(scratch: Scratch, docs: DataFrame, learn: str, model: str | None = Non
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(model)
-        for batch in batches:
+        for batch in gathered(batches):
             c = batch.column(2).to_numpy().astype(float)
             lp = np.empty(batch.num_rows)
             for places, rows in by_length(batch.column(0).to_pylist()):
@@ -342,7 +357,7 @@ def train(scratch: Scratch, docs: DataFrame, learn: str, model: str | None = Non
                 both = np.logaddexp(lp + spell, np.log(np.maximum(c - discount, 0) / total))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(both), pa.array(lp + alone)], names=["word", "n", "c", "lp", "lat"])
 
-    scored = scratch.save(words.mapInArrow(score, "word binary, n long, c long, lp double, lat double"), "words")
+    scored = scratch.save(words.mapInArrow(thrifty(score), "word binary, n long, c long, lp double, lat double"), "words")
     scratch.drop("counts")
     return Model(scored, ends, held + ends, types + (ends > 0), discount, total, counts, head_from)
 
@@ -388,7 +403,7 @@ def score(scratch: Scratch, docs: DataFrame, model: Model, keep: list[str]) -> D
                 types = [pa.int64(), pa.int64(), *[pa.float64()] * 3]
                 yield pa.RecordBatch.from_arrays([batch.column(2).take(row), kept, pa.array(word, pa.binary()), *[pa.array(x, t) for x, t in zip(sums, types, strict=True)]], names=["rid", "kept", "word", *numbers])
 
-    parts = scratch.save(held.mapInArrow(run, kinds), "parts")
+    parts = scratch.save(held.mapInArrow(thrifty(run), kinds), "parts")
     tail = parts.filter("word IS NOT NULL").select("rid", "word", "k").join(model.words.select("word", "c", "lp", "lat"), "word", "left")
     c, k = F.coalesce("c", F.lit(0)), F.col("k")
     tail = tail.select("rid", F.when(c > 0, k).otherwise(0).alias("known"), (k * model.base(c)).alias("base2"), (k * F.col("lp") / math.log(10)).alias("lp2"), (k * F.col("lat") / math.log(10)).alias("lat2"))
