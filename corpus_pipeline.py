@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm import decontaminate, nearpairs, pieces, quality, secrets
-from tabulon.llm.common import Scratch, fresh, table
+from tabulon.llm.common import Scratch, dropped_after, fresh, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -77,5 +77,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        with dropped_after():
+            docs = scratch.save(stage(spark, docs, sf_dir), f"stage-{k}")
+        scratch.drop(f"stage-{k - 1}")
     return docs

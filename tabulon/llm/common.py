@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +41,12 @@ class Scratch:
     """Intermediate tables as Parquet in the shared folder, which any executor can read again.
 
     They cut lineage like checkpoint() but are written once, in columns. Hadoop deletes them when the
-    driver's JVM ends, since a lazily returned result may still read them; drop() deletes one early.
+    driver's JVM ends, since a lazily returned result may still read them; drop() deletes one early, and
+    `dropped_after` all that are made while it lasts.
     """
 
+    made: list[Scratch] | None = None
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -50,6 +55,8 @@ class Scratch:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(self.root))
         self._fs.deleteOnExit(self._path(self.root))
+        if Scratch.made is not None:
+            Scratch.made.append(self)
 
     def folder(self, name: str) -> str:
         """The path of a new folder for files that aren't tables."""
@@ -68,8 +75,24 @@ class Scratch:
         dealt.write.format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*order).saveAsTable(called)
         return self.spark.table(called)
 
-    def drop(self, name: str) -> None:
-        self._fs.delete(self._path(f"{self.root}/{name}"), True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            self._fs.delete(self._path(f"{self.root}/{name}"), True)
+
+    def drop_all(self) -> None:
+        self._fs.delete(self._path(self.root), True)
+
+
+@contextmanager
+def dropped_after() -> Iterator[None]:
+    """Deletes the scratch tables of all that is made inside, when its results have been written elsewhere."""
+    before, Scratch.made = Scratch.made, []
+    try:
+        yield
+    finally:
+        for scratch in Scratch.made:
+            scratch.drop_all()
+        Scratch.made = before
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str = "components") -> DataFrame:
@@ -100,8 +123,7 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "components") ->
         a, b = jump.select(F.col("v").alias("a"), F.col("p").alias("pa")), jump.select(F.col("v").alias("b"), F.col("p").alias("pb"))
         new = rest.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"))
         rest = scratch.save(new.select(low.alias("a"), high.alias("b")).filter("a < b").distinct(), f"{name}-e{n}")
-        scratch.drop(f"{name}-e{n - 1}")
-        scratch.drop(f"{name}-l{n - 1}")
+        scratch.drop(f"{name}-e{n - 1}", f"{name}-l{n - 1}", f"{name}-p{n}-{k}")
     return labels
 
 

@@ -313,6 +313,7 @@ def near_vectors(scratch: Scratch, vectors: DataFrame, cosine: float = 0.93, blo
     counted = found.groupBy("id").agg(F.sum("links").alias("links")).join(labels, "id", "left").select("id", "links", F.coalesce("component", "id").alias("component"))
     of_class = classes.join(counted, "id", "left").select(F.col("label").alias(own_label), F.col("v").alias(whole), F.col("id").alias(own_class), F.col("weight").alias(weight), F.col("links").alias(links), F.col("component").alias(group))
     of_class = scratch.save(of_class, "of_class")
+    scratch.drop("classes", "sizes", "found", "sampled", "centres", "placed", "nodes")
     kept = [c for c in vectors.columns if c not in ("n_links", "component_id", "kept")]
     good = rows.filter(is_sound).join(of_class.hint("merge"), (v == F.col(whole)) & (F.col("label") == F.col(own_label)), "left")
     component, n = F.coalesce(group, own_class), F.coalesce(links, F.lit(0)) + F.col(weight) - 1

@@ -384,6 +384,7 @@ def near_groups(scratch: Scratch, docs: DataFrame, width: int = 3, percent: int
     # rows that share an id are one node, so the smallest component of its classes is the id's
     named = classes.select("s1", "s2", F.col("n_shingles").alias("n"), "id").join(labels, "id", "left")
     named = scratch.save(named.select("s1", "s2", "n", F.coalesce("component", "id").alias("component")), "named")
+    scratch.drop("classes", "buckets", "hubs", "hub-links", "open", "near", "tree-links", "placed-trees", "blocks", "wanted", "more-links")
     s1, s2, n, group = fresh(docs, "a", "b", "n", "group")
     named = named.select(F.col("s1").alias(s1), F.col("s2").alias(s2), F.col("n").alias(n), F.col("component").alias(group))
     out = sets.join(named.hint("merge"), (F.col(own[0]) == F.col(s1)) & (F.col(own[1]) == F.col(s2)) & (F.col("n_shingles") == F.col(n)), "left")
