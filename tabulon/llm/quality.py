@@ -58,8 +58,10 @@ def log_count_ratios(rows: list[np.ndarray], good: np.ndarray, smooth: float = 1
     """log of the classes' smoothed shares of each feature."""
     counts = []
     for side in (True, False):
-        picked = [r for r, g in zip(rows, good, strict=True) if g == side]
-        c = np.bincount(np.concatenate([*picked, np.zeros(0, np.int32)]).astype(np.int64), minlength=1 << BITS) + smooth
+        c = np.full(1 << BITS, smooth)
+        for r, g in zip(rows, good, strict=True):
+            if g == side:
+                c[r] += 1  # a row's features are distinct
         counts.append(c / c.sum())
     return np.log(counts[0] / counts[1])
 
@@ -70,7 +72,7 @@ def dual_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray
     The bias is a feature of value 1. A sweep visits the rows in a new order and each step is exact.
     """
     w, bias, alpha = np.zeros(1 << BITS), 0.0, np.zeros(len(rows))
-    square = np.array([v @ v + 1 for v in values])
+    square = np.array([float(v @ v) + 1 for v in values])
     random = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
@@ -131,7 +133,7 @@ class Model:
         self.ratio = log_count_ratios(rows, good).astype(np.float32)
         y = np.where(good, 1.0, -1.0)
         share = np.where(good, 0.5 / max(good.sum(), 1), 0.5 / max((~good).sum(), 1)) * len(rows)
-        self.weight, self.bias = dual_descent(rows, [unit(self.ratio[r].astype(float)) for r in rows], y, 4.0 * share)
+        self.weight, self.bias = dual_descent(rows, [unit(self.ratio[r]) for r in rows], y, 4.0 * share)
         self.weight = self.weight.astype(np.float32)
 
     def margin(self, row: np.ndarray) -> float:
@@ -160,9 +162,11 @@ def train(docs: DataFrame, labels: DataFrame, learn, most: int = 6000) -> Model:
         texts = held.groupBy(*keys).agg(F.min("text").alias("text"))
         picked = held.select(*keys).distinct().orderBy("pick", "doc_id", "quality").limit(most)
         held = texts.join(F.broadcast(picked), ["doc_id", "quality", "pick"])
-    found = held.select("doc_id", "text", "quality").mapInArrow(thrifty(extract), "doc_id long, quality int, row binary").toArrow().to_pylist()
-    found = sorted(found, key=lambda r: (r["doc_id"], r["quality"], r["row"]))
-    return Model([np.frombuffer(r["row"], np.int32) for r in found], np.array([r["quality"] == 1 for r in found], bool))
+    found = held.select("doc_id", "text", "quality").mapInArrow(thrifty(extract), "doc_id long, quality int, row binary").toArrow().combine_chunks()
+    ids, labels, rows = (found.column(k) for k in range(3))
+    own = [np.frombuffer(r.as_buffer(), np.int32) for r in rows]  # views of what was fetched
+    order = sorted(range(len(own)), key=lambda k: (ids[k].as_py(), labels[k].as_py(), own[k].tobytes()))
+    return Model([own[k] for k in order], np.array([labels[k].as_py() == 1 for k in order], bool))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
