@@ -48,7 +48,7 @@ class Scratch:
     made: list[Scratch] | None = None
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
+        self.spark, self.tables = spark, {}
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
@@ -69,17 +69,24 @@ class Scratch:
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def save_buckets(self, frame: DataFrame, name: str, keys: list[str], order: list[str], buckets: int) -> DataFrame:
-        """Saved in buckets by keys, each one file in that order, so joins on keys leave the rows where they are."""
+        """Saved in buckets by keys, each one file in that order, so joins on keys leave the rows where they are.
+
+        Buckets are known to the catalog, so it has a table of them until drop().
+        """
         path, called = f"{self.root}/{name}", f"tabulon_{uuid.uuid4().hex}"
+        self.tables[name] = called
         dealt = frame.repartition(buckets, *keys)
         dealt.write.format("parquet").option("path", path).bucketBy(buckets, *keys).sortBy(*order).saveAsTable(called)
         return self.spark.table(called)
 
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self.tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self.tables.pop(name)}")
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
 
     def drop_all(self) -> None:
+        self.drop(*list(self.tables))
         self._fs.delete(self._path(self.root), True)
 
 

@@ -248,9 +248,16 @@ class FingerprintIndex:
         hot = hot.groupBy("fp").agg(F.sum("n").alias("n")).select("fp", F.ceil(F.col("n") * len(old) / HOT).cast("int").alias("parts"))
         self.n += 1
         self.runs = [self._run(every, hot)]
-        for r in old:
-            for name in r.names:
-                self.scratch.drop(name)
+        self._forget(old)
+
+    def _forget(self, runs: list[Run]) -> None:
+        for r in runs:
+            self.scratch.drop(*r.names)
+
+    def close(self) -> None:
+        """Deletes the runs; what `ingest` returned stays."""
+        self._forget(self.runs)
+        self.runs = []
 
 
 def dedup(scratch: Scratch, docs: DataFrame, batches: int = 4, width: int = 50) -> DataFrame:
@@ -263,6 +270,7 @@ def dedup(scratch: Scratch, docs: DataFrame, batches: int = 4, width: int = 50)
         upto = docs.filter(F.col("doc_id") < edges[k + 1])
         removed = index.ingest(upto.filter(F.col("doc_id") >= edges[k]), upto, last=k + 1 == batches)
         out = removed if out is None else out.union(removed)
+    index.close()
     return out
 
 

@@ -630,3 +630,10 @@ def test_candidates_of_long_texts(spark):
     found = secrets.candidates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert all(texts[f.doc_id][f.start : f.start + len(f.candidate)] == f.candidate for f in found)
     assert {f.candidate for f in found if f.doc_id in (0, 6)} == {texts[0][9:], "hunter"}
+
+
+def test_no_table_stays_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    frame = spark.createDataFrame(made_docs(n=20), "doc_id long, text string")
+    removed = substrings.dedup(Scratch(spark, "test"), frame, 5)
+    assert removed.count() > 0 and {t.name for t in spark.catalog.listTables()} == before
