@@ -124,11 +124,13 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "q12": ("SELECT o.o_orderpriority AS priority, SUM(CASE WHEN l.l_quantity > 25 THEN 1 ELSE 0 END) AS large, SUM(CASE WHEN l.l_quantity > 25 THEN 0 ELSE 1 END) AS small FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE l.l_shipdate >= '1997-01-01' GROUP BY o.o_orderpriority", "SELECT o.o_orderpriority AS priority, CAST(SUM(CASE WHEN l.l_quantity > 25 THEN 1 ELSE 0 END) AS BIGINT) AS large, CAST(SUM(CASE WHEN l.l_quantity > 25 THEN 0 ELSE 1 END) AS BIGINT) AS small FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey WHERE l.l_shipdate >= '1997-01-01' GROUP BY o.o_orderpriority"),
     "q14": ("SELECT ROUND(100 * SUM(CASE WHEN p.p_type LIKE '%S%' THEN l.l_extendedprice * (1 - l.l_discount) ELSE 0.0 END) / SUM(l.l_extendedprice * (1 - l.l_discount)), 4) AS share FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey", None),
     # metadata
-    "show_tables": ("SHOW TABLES", None),
-    "describe": ("DESCRIBE orders", None),
+    "show_tables": ("SHOW TABLES", "SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in TABLES) + ') v("Tables")'),
+    "show_tables_like": ("SHOW TABLES LIKE 'n%'", "SELECT 'nation' AS \"Tables\""),
+    "show_databases": ("SHOW DATABASES", "SELECT 'main' AS \"Database\""),
+    "describe": ("DESCRIBE orders", "SELECT * FROM (VALUES ('o_orderkey', 'Integer'), ('o_custkey', 'Integer'), ('o_orderstatus', 'Text'), ('o_totalprice', 'Float'), ('o_orderdate', 'Text'), ('o_orderpriority', 'Text')) v(\"Column\", \"Type\")"),
+    "show_columns": ("SHOW COLUMNS FROM region", "SELECT * FROM (VALUES ('r_regionkey', 'Integer'), ('r_name', 'Text')) v(\"Column\", \"Type\")"),
+    "use": ("USE main", "SELECT 'Database changed' AS \"Status\""),
 }
-#: Statements about the engine's own catalog, which DuckDB has no answer to.
-NO_ORACLE = frozenset({"show_tables", "describe"})
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,4 +142,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: oracle or sql for name, (sql, oracle) in QUERIES.items() if name not in NO_ORACLE} | files.oracle_sql()
+    return {name: oracle or sql for name, (sql, oracle) in QUERIES.items()} | files.oracle_sql()

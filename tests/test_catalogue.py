@@ -7,13 +7,13 @@ from pathlib import Path
 
 import pytest
 
-from tabulon.plans.catalogue import NO_ORACLE, TABLES, oracle_sql, queries
+from tabulon.plans.catalogue import TABLES, oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_every_query_has_sql():
-    assert set(oracle_sql()) == set(queries()) - NO_ORACLE
+    assert set(oracle_sql()) == set(queries())
 
 
 def cell(v):
@@ -23,7 +23,7 @@ def cell(v):
 
 
 @pytest.mark.skipif(not Path(SF).is_dir(), reason="no test tables here")
-@pytest.mark.parametrize("name", [n for n in queries() if n not in NO_ORACLE])
+@pytest.mark.parametrize("name", list(queries()))
 def test_against_duckdb(spark, name):
     import duckdb
 
