@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabulon.llm.common import table
-from tabulon.llm.words import Words, mix, slices, thrifty
+from tabulon.llm.words import Words, give_back, mix, slices, thrifty
 
 BITS = 18
 THRESHOLD = 0.7
@@ -166,7 +166,10 @@ def train(docs: DataFrame, labels: DataFrame, learn, most: int = 6000) -> Model:
     ids, labels, rows = (found.column(k) for k in range(3))
     own = [np.frombuffer(r.as_buffer(), np.int32) for r in rows]  # views of what was fetched
     order = sorted(range(len(own)), key=lambda k: (ids[k].as_py(), labels[k].as_py(), own[k].tobytes()))
-    return Model([own[k] for k in order], np.array([labels[k].as_py() == 1 for k in order], bool))
+    model = Model([own[k] for k in order], np.array([labels[k].as_py() == 1 for k in order], bool))
+    del found, ids, labels, rows, own
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:

@@ -100,6 +100,13 @@ class Words:
         return mix(x + y), y
 
 
+def give_back() -> None:
+    """Returns this process's freed memory to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # glibc's only
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """run, after which the worker gives freed memory back: it stays for other stages, whose own comes on top."""
 
@@ -108,9 +115,7 @@ def thrifty(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with suppress(OSError, AttributeError):  # glibc's only
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return wrapped
 
