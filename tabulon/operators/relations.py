@@ -6,6 +6,7 @@ from collections.abc import Callable
 from math import prod
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabulon.catalog import Catalog
 from tabulon.errors import QueryError
@@ -16,10 +17,14 @@ from tabulon.sql import nodes as n
 
 
 class Relations:
-    """Builds the FROM clause of one query; column names count up over all its tables."""
+    """Builds the FROM clause of one query; column names count up over all its tables.
 
-    def __init__(self, spark: SparkSession, catalog: Catalog, compat: bool):
+    numbered: each table's rows get a number as they are scanned, in the columns `numbers`.
+    """
+
+    def __init__(self, spark: SparkSession, catalog: Catalog, compat: bool, numbered: bool = False):
         self.spark, self.catalog, self.compat, self.used = spark, catalog, compat, 0
+        self.numbered, self.numbers = numbered, []
 
     def build(self, sources: tuple[n.From, ...]) -> tuple[DataFrame, Scope]:
         if not sources:
@@ -60,6 +65,9 @@ class Relations:
             fields.append(Field(table.name, node.alias, f.name, f"c{self.used}", typed.kind))
             columns.append(typed.col.alias(f"c{self.used}"))
             self.used += 1
+        if self.numbered:
+            self.numbers.append(f"r{len(self.numbers)}")
+            columns.append(F.monotonically_increasing_id().alias(self.numbers[-1]))
         return table.frame.select(*columns), fields
 
     def joined(self, left: DataFrame | None, scope: Scope, relation: n.Relation, join: n.Join | None) -> tuple[DataFrame, Scope]:

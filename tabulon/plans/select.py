@@ -98,11 +98,12 @@ class Grouping:
         self.firsts.setdefault(column, column)
         return F.col(f"first.{column}")
 
-    def apply(self, frame: DataFrame) -> DataFrame:
+    def apply(self, frame: DataFrame, numbers: list[str]) -> DataFrame:
+        """numbers: of the tables' rows; a group's first row is the first of the first table, then of the second, whatever was shuffled since."""
         made = [v.col.alias(name) for name, v in self.aggregates.values()]
         if self.firsts:
-            frame = frame.withColumn("__row", F.monotonically_increasing_id())
-            made.append(F.min_by(F.struct(*self.firsts), "__row").alias("first"))
+            order = F.struct(F.lit(0), *[F.coalesce(r, F.lit(2**63 - 1)) for r in numbers])  # rows that an outer join adds come last
+            made.append(F.min_by(F.struct(*self.firsts), order).alias("first"))
         if not self.grouped:
             return frame.agg(*(made or [F.count(F.lit(1)).alias("n")]))
         if not self.keys:  # constants only: one group, none of no rows
@@ -133,12 +134,8 @@ class Planner:
 
     def plan(self, node: n.Select) -> Plan:
         relations = Relations(self.spark, self.catalog, self.compat)
-        frame, scope = relations.build(node.sources)
+        frame, scope = self.filtered(node, relations)
         taken = partial(relations.rows, node.sources)
-        if node.where is not None:
-            if has_aggregate(node.where):
-                raise QueryError("Aggregates are not allowed in WHERE")
-            frame = frame.filter(Lowering(scope, compat=self.compat).condition(node.where))
         nodes = self.expanded(node.items, scope)
         grouped = bool(node.group) or node.having is not None or any(has_aggregate(i.value) for i in nodes) or any(has_aggregate(o.value) for o in node.order)
         if grouped:
@@ -147,6 +144,15 @@ class Planner:
         outputs = [Output(self.title(i), lower(i.value), i.value) for i in nodes]
         return self.finished(node, taken, frame, outputs, lower)
 
+    def filtered(self, node: n.Select, relations: Relations) -> tuple[DataFrame, Scope]:
+        """FROM and WHERE."""
+        frame, scope = relations.build(node.sources)
+        if node.where is not None:
+            if has_aggregate(node.where):
+                raise QueryError("Aggregates are not allowed in WHERE")
+            frame = frame.filter(Lowering(scope, compat=self.compat).condition(node.where))
+        return frame, scope
+
     def grouped(self, node: n.Select, taken: Callable[[], int], frame: DataFrame, scope: Scope, nodes: list[n.Item]) -> Plan:
         grouping = Grouping(scope, node.group, self.compat)
         lower = Lowering(scope, grouping.replace, self.compat)
@@ -154,7 +160,12 @@ class Planner:
         having = truthy(lower(node.having)) if node.having is not None else None
         for o in node.order:
             self.order_key(o.value, outputs, lower)
-        frame = grouping.apply(frame)
+        numbers: list[str] = []
+        if grouping.firsts:  # only then are rows numbered, which keeps filters from the scan
+            relations = Relations(self.spark, self.catalog, self.compat, numbered=True)
+            frame, _ = self.filtered(node, relations)
+            numbers = relations.numbers
+        frame = grouping.apply(frame, numbers)
         return self.finished(node, taken, frame if having is None else frame.filter(having), outputs, lower)
 
     def expanded(self, items: tuple[n.Node, ...], scope: Scope) -> list[n.Item]:

@@ -338,3 +338,24 @@ def test_tables_are_read_when_named(spark):
     e.register("t", lambda: spark.range(3))
     assert rows(e, "SELECT COUNT(*) FROM t") == [(3,)]
     assert rows(e, "SHOW TABLES") == [("never",), ("t",)]
+
+
+def test_first_rows_of_groups_survive_shuffles(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        e = Engine(spark)
+        left = [(k, (k * 37) % 101, f"l{k}") for k in range(300)]
+        right = [(k, (k * 53) % 101, f"r{k}") for k in range(200)]
+        e.register("a", spark.createDataFrame(left, "i long, x long, s string").repartition(1).sortWithinPartitions("i"))
+        e.register("b", spark.createDataFrame(right, "j long, x long, t string").repartition(1).sortWithinPartitions("j"))
+        wanted = {}
+        for _, x, s in left:
+            for _, y, t in right:
+                if x == y:
+                    wanted.setdefault(x % 7, (s, t))
+        got = rows(e, "SELECT a.x % 7 AS g, s, t FROM a, b WHERE a.x = b.x GROUP BY a.x % 7")
+        assert {g: (s, t) for g, s, t in got} == wanted
+        assert rows(e, "SELECT s, t, COUNT(*) FROM a RIGHT JOIN b ON a.x = b.x AND a.i < 0") == [(None, "r0", 200)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
